@@ -3,13 +3,15 @@
 A window is `n` consecutive words. Every window has an anchor: the phrase of `k` words in it with the smallest hash. Equal
 windows have equal anchors, so only windows whose anchor recurs can recur.
 
-1. Anchors, about one for every 14 words, are counted over all documents (combined before the exchange).
-2. Recurring anchors are routed to the documents that hold them. A task compiles the recurring phrases of a shard of
+1. Each document is read once for its anchors, about one for every 14 words. Documents of equal words are one text from
+   then on: if it has a window, all of it recurs. Anchors are counted over texts (combined before the exchange).
+2. Recurring anchors are routed to the texts that hold them. A task compiles the recurring phrases of a shard of
    documents into an Aho-Corasick automaton and streams those documents through it, locating every occurrence; windows
    anchored at an occurrence are candidates. Automata are bounded by the shard's text.
 3. Candidates are confirmed by counting 128-bit window hashes, again combined before the exchange. Where a window turns
    out to be alone, the count carries its only position back: these few rows, not the recurring windows, return.
-4. The documents stream through their automata once more; words under candidates that were not found alone go.
+4. Texts with recurring anchors stream through their automata once more; words under candidates that were not found alone
+   go. Documents without recurring anchors are not read again.
 
 No step gathers the occurrences of one passage, so a passage in a third of all documents costs what its text costs.
 
@@ -21,7 +23,6 @@ doc_id is kept; an empty table gives an empty result; further columns are ignore
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,22 +99,25 @@ def _anchor_rows(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            docs, keys, hs, counts = [], [], [], []
-            ids, tkeys = b.column("doc_id"), b.column("tkey").to_pylist()
-            for row, text in enumerate(b.column("text").to_pylist()):
-                phrase, low = anchors(hashes.of(words_of(text)), n, k)
-                if len(low):
-                    used, times = np.unique(phrase[np.isin(phrase, low)], return_counts=True)
-                    docs.append(np.full(len(used), row))
-                    keys.append(np.full(len(used), tkeys[row], np.int64))
-                    hs.append(used.view(np.int64))
-                    counts.append(times)
-            if docs:
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(docs))), pa.array(np.concatenate(keys)), pa.array(np.concatenate(hs)), pa.array(np.concatenate(counts).astype(np.int64))], names=["doc_id", "tkey", "h", "times"])
+            counts, sha, hs, twice = [], [], [], []
+            for text in b.column("text").to_pylist():
+                words = words_of(text)
+                phrase, low = anchors(hashes.of(words), n, k)
+                used, times = np.unique(phrase[np.isin(phrase, low)], return_counts=True)
+                counts.append(len(words))
+                sha.append(_sha(words))
+                hs.append(used.view(np.int64))
+                twice.append(times > 1)
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), *(pa.array(x, t) for x, t in zip((counts, sha, hs, twice), kinds, strict=True))], names=["doc_id", "tkey", "n_words", "sha", "hs", "twice"])
 
     return run
 
 
+def _sha(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+
 class Located:
     """Candidate windows of a shard of documents, located by one automaton over its recurring phrases."""
 
@@ -172,26 +176,24 @@ def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 def _candidate_rows(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for held in _shards(batches, ("doc_id", "tkey", "text", "hs")):
-            cols: list[list] = [[], [], [], [], []]
+        for held in _shards(batches, ("row", "text", "hs")):
+            cols: list[list] = [[], [], [], []]
             size = 0
-            ids = pa.array(held["doc_id"], pa.int64())
 
             def out() -> pa.RecordBatch:
-                rows, *rest = map(np.concatenate, cols)
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *map(pa.array, rest)], names=["doc_id", "tkey", "w1", "w2", "at"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["row", "w1", "w2", "at"])
 
-            for row, (_, h, starts) in enumerate(Located(held["text"], held["hs"], n, k, hashes).windows()):
+            for row, (_, h, starts) in zip(held["row"], Located(held["text"], held["hs"], n, k, hashes).windows(), strict=True):
                 if not len(starts):
                     continue
                 with np.errstate(over="ignore"):
                     w1, w2 = rolling(h, n, _P1)[starts], rolling(_mix(h + _P2), n, _P2)[starts]
-                for c, v in zip(cols, (np.full(len(starts), row), np.full(len(starts), held["tkey"][row], np.int64), w1.view(np.int64), w2.view(np.int64), starts.astype(np.int32)), strict=True):
+                for c, v in zip(cols, (np.full(len(starts), row, np.int64), w1.view(np.int64), w2.view(np.int64), starts.astype(np.int32)), strict=True):
                     c.append(v)
                 size += len(starts)
                 if size > 200_000:
                     yield out()
-                    cols, size = [[], [], [], [], []], 0
+                    cols, size = [[], [], [], []], 0
             if size:
                 yield out()
 
@@ -207,51 +209,55 @@ def removed_mask(count: int, starts: np.ndarray, alone: list[int], n: int) -> np
     return np.cumsum(steps)[:count] > 0
 
 
-def _cleaned(n: int, k: int, text_out: bool):
+def _cleaned(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for held in _shards(batches, ("doc_id", "text", "hs", "alone")):
-            counts, gone, sha, texts = [], [], [], []
-            found = iter(())
-            busy = [i for i, hs in enumerate(held["hs"]) if hs]
-            found = zip(busy, Located([held["text"][i] for i in busy], [held["hs"][i] for i in busy], n, k, hashes).windows(), strict=True)
-            ahead = next(found, None)
-            for row, text in enumerate(held["text"]):
-                if ahead and ahead[0] == row:
-                    words, _, starts = ahead[1]
-                    mask = removed_mask(len(words), starts, held["alone"][row] or [], n)
-                    ahead = next(found, None)
-                    left = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
-                else:
-                    words = left = words_of(text)
-                counts.append(len(words))
-                gone.append(len(words) - len(left))
-                kept = " ".join(left)
-                sha.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-                if text_out:
-                    texts.append(kept)
-            cols = {"doc_id": pa.array(held["doc_id"], pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols | ({"kept": pa.array(texts, pa.string())} if text_out else {}))
+        for held in _shards(batches, ("row", "text", "hs", "alone")):
+            gone, sha, spans = [], [], []
+            for (words, _, starts), alone in zip(Located(held["text"], held["hs"], n, k, hashes).windows(), held["alone"], strict=True):
+                mask = removed_mask(len(words), starts, alone or [], n)
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+                gone.append(int(mask.sum()))
+                spans.append([{"from": a, "to": b} for a, b in edges.reshape(-1, 2).tolist()])
+                sha.append(_sha([w for w, m in zip(words, mask.tolist(), strict=True) if not m]))
+            kinds = {"row": pa.int64(), "gone": pa.int64(), "left": pa.string(), "cut": pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))}
+            yield pa.RecordBatch.from_pydict({"row": held["row"], "gone": gone, "left": sha, "cut": spans}, schema=pa.schema(kinds))
 
     return run
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, k: int = K, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256; with_text: also the words that stay."""
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, k: int = K) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by a space), spans
+    (disjoint [from, to) of the words that go)."""
     base = keyed(docs, id_col, text_col)
-    rows = stored(base.mapInArrow(_anchor_rows(n, k), "doc_id long, tkey long, h long, times long"))
-    recurring = rows.groupBy("h").agg(F.sum("times").alias("times")).where("times > 1").select("h")
-    routed = stored(rows.join(recurring, "h").groupBy("doc_id", "tkey").agg(F.collect_set("h").alias("hs")))
-    side = routed.withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
-    same = lambda d, t: F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("tkey") == F.col(t))
-    windows = base.join(side, same("_doc", "_tkey")).select("doc_id", "tkey", "text", "hs").mapInArrow(_candidate_rows(n, k), "doc_id long, tkey long, w1 long, w2 long, at int")
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "at")).alias("p"))
-    alone = counted.where("n = 1").groupBy(F.col("p.doc_id").alias("doc_id"), F.col("p.tkey").alias("tkey")).agg(F.collect_list("p.at").alias("alone"))
-    facts = stored(routed.alias("r").join(alone.alias("a"), F.col("r.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("r.tkey") == F.col("a.tkey")), "left").select("r.doc_id", "r.tkey", "hs", "alone"))
-    facts = facts.withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
-    return base.join(facts, same("_doc", "_tkey"), "left").select("doc_id", "text", "hs", "alone").mapInArrow(_cleaned(n, k, with_text), schema)
+    read = base.mapInArrow(_anchor_rows(n, k), "doc_id long, tkey long, n_words long, sha string, hs array<long>, twice array<boolean>")
+    rows = stored(read.withColumn("row", F.monotonically_increasing_id()))
+    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("row").alias("first"))
+    known = stored(rows.select("row", "sha").join(copies, "sha").select("row", "copies", (F.col("row") == F.col("first")).alias("leads")))
+    leads = known.where("leads").select("row", "copies")
+    held = rows.join(leads, "row").select("row", F.explode(F.arrays_zip("hs", "twice")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.twice").alias("twice"))
+    recurring = held.groupBy("h").agg(F.count("*").alias("texts"), F.bool_or("twice").alias("twice")).where("texts > 1 or twice").select("h")
+    routed = held.select("row", "h").join(recurring, "h").groupBy("row").agg(F.collect_set("h").alias("hs"))
+    routed = rows.select("row", "doc_id", "tkey").join(routed, "row").join(leads, "row").withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
+    # rows that are the same in id and text led as one; only one of them need be read
+    busy = stored(base.join(routed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_tkey"))).select("row", "text", "hs", "copies"))
+    windows = busy.select("row", "text", "hs").mapInArrow(_candidate_rows(n, k), "row long, w1 long, w2 long, at int")
+    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("p"))
+    alone = counted.where("n = 1").groupBy(F.col("p.row").alias("row")).agg(F.collect_list("p.at").alias("alone"))
+    single = busy.where("copies = 1").select("row", "text", "hs").join(alone, "row", "left").select("row", "text", "hs", "alone")
+    cleaned = single.mapInArrow(_cleaned(n, k), "row long, gone long, left string, cut array<struct<from: long, to: long>>")
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= n)
+    all_words = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))
+    none = F.array().cast("array<struct<from: long, to: long>>")
+    told = rows.select("row", "doc_id", "n_words", "sha").join(known.select("row", "copies"), "row").join(cleaned, "row", "left")
+    return told.select(
+        "doc_id",
+        "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left", "sha")).alias("kept_sha256"),
+        F.when(whole, all_words).otherwise(F.coalesce("cut", none)).alias("spans"),
+    )
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
