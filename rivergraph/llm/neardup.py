@@ -3,13 +3,13 @@
 A document's words (lower-cased runs of letters and digits) give k-mers of five words, each labelled with how often it
 occurred before, so repeats count. A sketch takes the `ELL` smallest k-mers under a hash of its own and keeps them in the
 order of the text: documents agree on it with a probability that falls with edits and with reordering. `SKETCHES`
-sketches make bands of `ROWS`; documents that share a band are candidates. At a k-mer similarity of 0.8 a pair is missed
-by every band with a probability near 3e-6.
+sketches make bands of `ROWS`; documents that share `SHARED` bands are candidates. At a k-mer similarity of 0.8 a pair
+shares fewer with a probability near 6e-5.
 
 1. Texts with equal words are one class from the start; only one representative of them goes on.
 2. In a band's bucket the document that shares most buckets leads, and the others are compared with it alone. Members that
-   its class leaves out choose a leader among themselves in the next round, until no bucket holds two classes unmet. So a
-   bucket of near copies costs its size, not its square, and nothing is capped.
+   its class leaves out choose leaders among themselves in the next round, eight times as many each time, until no bucket
+   holds two classes unmet. So a bucket of near copies costs its size, not its square, and nothing is capped.
 3. A pair is near if the k-mers (with their labels) have a Jaccard similarity of at least 0.8, and an alignment of the
    words within the band that this allows matches at least 0.8 of the longer text.
 4. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
@@ -29,13 +29,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, stored, table
 
 K, SKETCHES, ROWS, ELL, LEAST = 5, 48, 2, 2, 0.8
 BANDS = SKETCHES // ROWS
+#: Bands that a pair must share, and how many times as many leaders each round has as the one before.
+SHARED, GROWTH = 2, 8
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,9 +97,10 @@ def sketch(kmers: np.ndarray, chunk: int = 4096) -> np.ndarray:
             part = kmers[a : a + chunk]
             x = part[None, :] * FACTORS[:, None] + SUMMANDS[:, None]
             x ^= x >> np.uint64(32)
-            take = min(ELL, len(part))
-            at = np.argpartition(x, take - 1, axis=1)[:, :take] if len(part) > ELL else np.tile(np.arange(len(part)), (SKETCHES, 1))
-            best, where = np.hstack([best, np.take_along_axis(x, at, 1)]), np.hstack([where, at + a])
+            for _ in range(min(ELL, len(part))):
+                at = x.argmin(axis=1)[:, None]
+                best, where = np.hstack([best, np.take_along_axis(x, at, 1)]), np.hstack([where, at + a])
+                np.put_along_axis(x, at, np.uint64(2**64 - 1), 1)
             if best.shape[1] > ELL:
                 at = np.argpartition(best, ELL - 1, axis=1)[:, :ELL]
                 best, where = np.take_along_axis(best, at, 1), np.take_along_axis(where, at, 1)
@@ -209,31 +212,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = stored(spread.join(shared, ["band", "h"]))
     support = buckets.join(buckets.groupBy("band", "h").agg(F.count("*").alias("n")), ["band", "h"]).groupBy("id").agg(F.sum("n").alias("support"))
     buckets = stored(buckets.join(support, "id"))
+    keys = reps.groupBy("rep").agg(F.min("rep_key").alias("rep_key"), F.first("bands").alias("bands")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
+    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "bands").dropDuplicates(["id"]))
     labels = stored(reps.select(F.col("rep").alias("id"), F.col("rep").alias("class")).distinct())
-    edges = None
+    edges = tested = None
+    leads = 1
     while not buckets.isEmpty():
-        lead = buckets.groupBy("band", "h").agg(F.min_by("id", F.struct(-F.col("support"), F.col("id"))).alias("lead"))
-        led = buckets.join(lead, ["band", "h"])
-        pairs = stored(led.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-        met = verify(pairs, reps, texts)
-        edges = stored(met) if edges is None else stored(edges.unionByName(met).distinct())
-        labels = components(edges, labels)
+        part = F.pmod(F.xxhash64("id"), F.lit(leads))
+        lead = buckets.groupBy("band", "h", part.alias("part")).agg(F.min_by("id", F.struct(-F.col("support"), F.col("id"))).alias("lead"))
         known = labels.select("id", "class")
-        ahead = led.join(known, "id").join(known.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead").where("class <> lead_class").select("id", "band", "h", "support", "class")
+        led = stored(buckets.join(lead.drop("part"), ["band", "h"]).join(known, "id").join(known.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead"))
+        pairs = led.where("class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        met = stored(verify(pairs, there))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        edges = met if edges is None else edges.unionByName(met)
+        if not met.isEmpty():
+            labels = components(edges, labels)
+        # a class that led has met all others in its bucket; the rest go on, under more leaders
+        now = labels.select("id", "class")
+        met_by = led.select("id", "band", "h", "support", "lead").join(now, "id").join(now.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead")
+        ahead = stored(met_by.groupBy("id", "band", "h", "support", "class").agg(F.bool_and(F.col("class") != F.col("lead_class")).alias("open")).where("open").drop("open"))
         open_ = ahead.groupBy("band", "h").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("band", "h")
         buckets = stored(ahead.join(open_, ["band", "h"]).select("id", "band", "h", "support"))
+        leads *= GROWTH
     named = reps.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("id")).select("k1", "k2", "class")
     of_row = rows.select("doc_id", "k1", "k2").join(named.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     return of_row.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b of representatives) that are near. Only texts of documents in pairs move."""
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    keys = reps.groupBy("rep").agg(F.min("rep_key").alias("rep_key")).join(used, F.col("rep") == F.col("id"))
-    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select(F.col("rep").alias("id"), "text").dropDuplicates(["id"]))
-    one = pairs.join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return one.join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+def verify(pairs: DataFrame, there: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are near. there: id, text, bands. Pairs that share fewer than SHARED bands bring no text."""
+    one = pairs.join(there.select(F.col("id").alias("a"), F.col("bands").alias("bands_a")), "a").join(there.select(F.col("id").alias("b"), F.col("bands").alias("bands_b")), "b")
+    alike = F.aggregate(F.zip_with("bands_a", "bands_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    close = one.where(alike >= SHARED).select("a", "b")
+    both = close.join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
