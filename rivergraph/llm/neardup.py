@@ -2,20 +2,22 @@
 
 A document's words (lower-cased runs of letters and digits) give k-mers of five words, each labelled with how often it
 occurred before, so repeats count. A sketch takes the `ELL` smallest k-mers under a hash of its own and keeps them in the
-order of the text: documents agree on it with a probability that falls with edits and with reordering. `SKETCHES`
-sketches make bands of `ROWS`; documents that share `SHARED` bands are candidates. At a k-mer similarity of 0.8 a pair
-shares fewer with a probability near 6e-5.
+order of the text: documents agree on it with a probability near the square of their k-mer similarity, less if reordered.
+`SKETCHES` sketches make bands of `ROWS`; documents that share a band are candidates, and those that agree on `AGREE`
+sketches are verified. At a k-mer similarity of 0.8 (about 31 agree) a pair fails either with a probability near 4e-6.
 
 1. Texts with equal words are one class from the start; only one representative of them goes on.
 2. In a band's bucket the document that shares most buckets leads, and the others are compared with it alone. Members that
-   its class leaves out choose leaders among themselves in the next round, eight times as many each time, until no bucket
-   holds two classes unmet. So a bucket of near copies costs its size, not its square, and nothing is capped.
+   are not near it themselves choose leaders among themselves in the next round, eight times as many each time, until no
+   bucket holds two classes unmet. So a bucket of near copies costs its size, not its square, and nothing is capped.
 3. A pair is near if the k-mers (with their labels) have a Jaccard similarity of at least 0.8, and an alignment of the
    words within the band that this allows matches at least 0.8 of the longer text.
-4. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
+4. Members near a leader are then compared with its fringe. Distances (1 - Jaccard) obey the triangle inequality: what is
+   near a member that is itself near the leader has a similarity of at least 0.6 to the leader. Such documents agree on
+   about 17 sketches with it; those that agree on `FRINGE` and are still in another class meet the leader's members.
+5. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
 
-Links between two documents of which one has already joined its bucket's leader are found in the other buckets they
-share, where leaders differ. Defined cases: null texts, empty ones and others without words are in a class of their own
+Defined cases: null texts, empty ones and others without words are in a class of their own
 each; texts of fewer than five words are one k-mer; rows that repeat a doc_id give a row each, and are one document
 (their class is that of the smallest of their texts' classes); null doc_ids get no class; an empty table gives an empty
 result; further columns are ignored.
@@ -29,15 +31,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed, stored, table
 
 K, SKETCHES, ROWS, ELL, LEAST = 5, 48, 2, 2, 0.8
 BANDS = SKETCHES // ROWS
-#: Bands that a pair must share, and how many times as many leaders each round has as the one before.
-SHARED, GROWTH = 2, 8
+#: Sketches that a pair must agree on to be verified, and a document with a leader to be of its fringe.
+AGREE, FRINGE = 10, 6
+#: How many times as many leaders each round has as the one before; parts of a leader's fringe.
+GROWTH, SALTS = 8, 16
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,7 +92,7 @@ def labelled_kmers(h: np.ndarray, k: int = K) -> np.ndarray:
 
 
 def sketch(kmers: np.ndarray, chunk: int = 4096) -> np.ndarray:
-    """A 64-bit value for each band; k-mers are read in chunks, so long texts take no more memory."""
+    """32 bits for each sketch; k-mers are read in chunks, so long texts take no more memory."""
     n = len(kmers)
     best = np.zeros((SKETCHES, 0), np.uint64)
     where = np.zeros((SKETCHES, 0), np.int64)
@@ -109,23 +113,20 @@ def sketch(kmers: np.ndarray, chunk: int = 4096) -> np.ndarray:
         one = np.zeros(SKETCHES, np.uint64)
         for i in range(chosen.shape[1]):
             one = _mix(one * _P + chosen[:, i])
-        bands = np.zeros(BANDS, np.uint64)
-        for i in range(ROWS):
-            bands = _mix(bands * _P + one[i::ROWS])
-    return bands.view(np.int64)
+    return (one >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for b in batches:
-        k1, k2, bands = [], [], []
+        k1, k2, sketches = [], [], []
         for text in b.column("text").to_pylist():
             h = word_hashes(text, words)
             raw = h.tobytes()
             k1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if raw else None)
             k2.append(xxhash.xxh64_intdigest(raw) - (1 << 63) if raw else None)
-            bands.append(sketch(labelled_kmers(h)) if raw else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "tkey", "k1", "k2", "bands"])
+            sketches.append(sketch(labelled_kmers(h)) if raw else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "tkey", "k1", "k2", "sk"])
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -179,7 +180,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for b in batches:
         good = [near(x, y, words) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
-        yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        yield b.select(["a", "b"]).rename_columns(["_a", "_b"]).filter(pa.array(good, pa.bool_()))
 
 
 def components(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -200,22 +201,22 @@ def components(edges: DataFrame, start: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class)."""
     base = keyed(docs, id_col, text_col)
-    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, bands array<long>"))
+    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>"))
     with_words = rows.where("k1 is not null and doc_id is not null")
     # the representative of equal texts: the smallest doc_id, and the text key that its text has
-    reps = stored(with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("bands").alias("bands")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "bands"))
+    reps = stored(with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "sk"))
     # rows of one doc_id with several texts are one node of the graph: ids name nodes
     texts = base.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
-    spread = reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "h")).distinct()
+    spread = reps.select(F.col("rep").alias("id"), F.posexplode(bands("sk")).alias("band", "h")).distinct()
     # buckets of one document bring no pair and go before anything else is done
     shared = spread.groupBy("band", "h").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("band", "h")
     buckets = stored(spread.join(shared, ["band", "h"]))
     support = buckets.join(buckets.groupBy("band", "h").agg(F.count("*").alias("n")), ["band", "h"]).groupBy("id").agg(F.sum("n").alias("support"))
     buckets = stored(buckets.join(support, "id"))
-    keys = reps.groupBy("rep").agg(F.min("rep_key").alias("rep_key"), F.first("bands").alias("bands")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
-    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "bands").dropDuplicates(["id"]))
+    keys = reps.groupBy("rep").agg(F.min_by("sk", "rep_key").alias("sk"), F.min("rep_key").alias("rep_key")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
+    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "sk").dropDuplicates(["id"]))
     labels = stored(reps.select(F.col("rep").alias("id"), F.col("rep").alias("class")).distinct())
-    edges = tested = None
+    tested = near_lead = fringe = None
     leads = 1
     while not buckets.isEmpty():
         part = F.pmod(F.xxhash64("id"), F.lit(leads))
@@ -223,31 +224,58 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         known = labels.select("id", "class")
         led = stored(buckets.join(lead.drop("part"), ["band", "h"]).join(known, "id").join(known.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead"))
         pairs = led.where("class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        met = stored(verify(pairs, there))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = met if edges is None else edges.unionByName(met)
-        if not met.isEmpty():
-            labels = components(edges, labels)
-        # a class that led has met all others in its bucket; the rest go on, under more leaders
+        pairs = stored(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        scored = stored(verify(pairs, there))
+        tested = scored if tested is None else tested.unionByName(scored)
+        if not scored.where("near").isEmpty():
+            labels = components(tested.where("near"), labels)
         now = labels.select("id", "class")
-        met_by = led.select("id", "band", "h", "support", "lead").join(now, "id").join(now.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead")
-        ahead = stored(met_by.groupBy("id", "band", "h", "support", "class").agg(F.bool_and(F.col("class") != F.col("lead_class")).alias("open")).where("open").drop("open"))
+        scores = tested.select("a", "b", "g", "near")
+        met_by = led.select("id", "band", "h", "support", "lead", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).join(scores, ["a", "b"], "left")
+        met_by = stored(met_by.select("id", "band", "h", "support", "lead", "g", F.coalesce("near", F.lit(False)).alias("near")))
+        held, apart = met_by.where("near").select("lead", "id"), met_by.where(f"not near and g >= {FRINGE}").select("lead", "id")
+        near_lead, fringe = (held, apart) if near_lead is None else (near_lead.union(held), fringe.union(apart))
+        # who led has met all others in the bucket, and who is near who led meets the rest through the fringe
+        ahead = met_by.groupBy("id", "band", "h", "support").agg(F.bool_or(F.col("near") | (F.col("id") == F.col("lead"))).alias("done")).where("not done").drop("done")
+        ahead = stored(ahead.join(now, "id"))
         open_ = ahead.groupBy("band", "h").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("band", "h")
         buckets = stored(ahead.join(open_, ["band", "h"]).select("id", "band", "h", "support"))
         leads *= GROWTH
+    if tested is not None:
+        pairs = stored(across(near_lead, fringe, labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        late = stored(verify(pairs, there).where("near"))
+        if not late.isEmpty():
+            labels = components(tested.where("near").unionByName(late), labels)
     named = reps.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("id")).select("k1", "k2", "class")
     of_row = rows.select("doc_id", "k1", "k2").join(named.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
     return of_row.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
+def bands(sk: str) -> Column:
+    """A 64-bit value for each band of ROWS sketches."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice(sk, i * ROWS + 1, ROWS)))
+
+
+def across(near_lead: DataFrame, fringe: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document near a leader and one of the leader's fringe that are in different classes. A leader's
+    fringe is spread over SALTS parts."""
+    part = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("part")
+    outer = fringe.distinct().join(labels, "id").select("lead", part, F.col("id").alias("y"), F.col("class").alias("y_class"))
+    inner = near_lead.distinct().join(fringe.select("lead").distinct(), "lead", "left_semi").join(labels, "id")
+    inner = inner.select(F.col("lead").alias("_lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_part"), F.col("id").alias("x"), F.col("class").alias("x_class"))
+    met = outer.join(inner, (F.col("lead") == F.col("_lead")) & (F.col("part") == F.col("_part")) & (F.col("x_class") != F.col("y_class")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def verify(pairs: DataFrame, there: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are near. there: id, text, bands. Pairs that share fewer than SHARED bands bring no text."""
-    one = pairs.join(there.select(F.col("id").alias("a"), F.col("bands").alias("bands_a")), "a").join(there.select(F.col("id").alias("b"), F.col("bands").alias("bands_b")), "b")
-    alike = F.aggregate(F.zip_with("bands_a", "bands_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    close = one.where(alike >= SHARED).select("a", "b")
+    """a, b, g (sketches that agree), near. there: id, text, sk. Pairs that agree on fewer than AGREE bring no text."""
+    one = pairs.join(there.select(F.col("id").alias("a"), F.col("sk").alias("sk_a")), "a").join(there.select(F.col("id").alias("b"), F.col("sk").alias("sk_b")), "b")
+    alike = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    scored = stored(one.select("a", "b", alike.alias("g")))
+    close = scored.where(F.col("g") >= AGREE).select("a", "b")
     both = close.join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+    good = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "_a long, _b long")
+    return scored.join(good, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").select("a", "b", "g", F.col("_a").isNotNull().alias("near"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -172,6 +172,36 @@ def test_near_duplicates(spark, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_across_a_leader(spark):
+    """Chains whose links lie between documents near a leader and others that are not near it themselves."""
+    r = random.Random(8)
+    own = neardup._Words()
+    data = []
+    for k in range(8):
+        hub = [f"h{k}x{i}" for i in range(240)]
+        for c in range(12):
+            at, v = r.randrange(0, 60), list(hub)
+            for i in range(at, at + 18 + 4 * (c % 6)):
+                v[i] = f"k{k}c{c // 6}i{i}"
+            if c % 6 > 3:
+                v = v[: 240 - 30 * (c % 2 + 1)]
+            data.append((100 * k + c, " ".join(v)))
+    parent = {i: i for i, _ in data}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in data:
+        for j, b in data:
+            if i < j and neardup.near(a, b, own):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, data)).collect()}
+    assert got == {i: root(i) for i, _ in data}
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 63, 1024, 5000):
