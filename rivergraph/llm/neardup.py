@@ -4,7 +4,7 @@ A document's words (lower-cased runs of letters and digits) give k-mers of five
 occurred before, so repeats count. A sketch takes the `ELL` smallest k-mers under a hash of its own and keeps them in the
 order of the text: documents agree on it with a probability near the square of their k-mer similarity, less if reordered.
 `SKETCHES` sketches make bands of `ROWS`; documents that share a band are candidates, and those that agree on `AGREE`
-sketches are verified. At a k-mer similarity of 0.8 (about 31 agree) a pair fails either with a probability near 4e-6.
+sketches are verified. At a k-mer similarity of 0.8 (about 31 agree) a pair fails either with a probability near 2e-5.
 
 1. Texts with equal words are one class from the start; only one representative of them goes on.
 2. In a band's bucket the document that shares most buckets leads, and the others are compared with it alone. Members that
@@ -39,7 +39,7 @@ from .common import keyed, stored, table
 K, SKETCHES, ROWS, ELL, LEAST = 5, 48, 2, 2, 0.8
 BANDS = SKETCHES // ROWS
 #: Sketches that a pair must agree on to be verified, and a document with a leader to be of its fringe.
-AGREE, FRINGE = 10, 6
+AGREE, FRINGE = 17, 6
 #: How many times as many leaders each round has as the one before; parts of a leader's fringe.
 GROWTH, SALTS = 8, 16
 _WORD = re.compile(r"[^\W_]+")
@@ -130,8 +130,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts' labelled k-mers."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Jaccard similarity of two texts' labelled k-mers, each sorted (b's order is used)."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
@@ -171,15 +172,32 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return most >= 0 and banded_edits(a.tolist(), b.tolist(), most) is not None
 
 
-def near(a: str, b: str, words: _Words, least: float = LEAST) -> bool:
-    x, y = word_hashes(a, words), word_hashes(b, words)
-    return kmer_similarity(labelled_kmers(x), labelled_kmers(y)) >= least and aligned(x, y, least)
+class _Read(dict):
+    """Word hashes and sorted k-mers by text, of the last texts of at most `most` words; a text comes with all its pairs."""
+
+    def __init__(self, words: _Words, most: int = 1_000_000):
+        self.words, self.most, self.held = words, most, 0
+
+    def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        h = word_hashes(text, self.words)
+        if self.held + len(h) > self.most:
+            self.clear()
+            self.held = 0
+        self.held += len(h)
+        found = self[text] = h, np.sort(labelled_kmers(h))
+        return found
+
+
+def near(a: str, b: str, read: _Read, least: float = LEAST) -> bool:
+    (x, p), (y, q) = read[a], read[b]
+    # the shorter k-mer set cannot be below `least` of the longer
+    return min(len(p), len(q)) >= least * max(len(p), len(q)) and kmer_similarity(p, q) >= least and aligned(x, y, least)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+    read = _Read(_Words())
     for b in batches:
-        good = [near(x, y, words) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+        good = [near(x, y, read) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
         yield b.select(["a", "b"]).rename_columns(["_a", "_b"]).filter(pa.array(good, pa.bool_()))
 
 

@@ -154,7 +154,7 @@ def near_rows():
 def test_near_duplicates(spark, empty):
     data = near_rows()
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(frame(spark, data)).collect()}
-    own = neardup._Words()
+    own = neardup._Read(neardup._Words())
     parent = {i: i for i, _ in data}
 
     def root(x):
@@ -175,7 +175,7 @@ def test_near_duplicates(spark, empty):
 def test_near_duplicates_across_a_leader(spark):
     """Chains whose links lie between documents near a leader and others that are not near it themselves."""
     r = random.Random(8)
-    own = neardup._Words()
+    own = neardup._Read(neardup._Words())
     data = []
     for k in range(8):
         hub = [f"h{k}x{i}" for i in range(240)]
