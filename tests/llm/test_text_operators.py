@@ -173,7 +173,7 @@ def test_near_duplicates(spark, empty):
 
 
 def test_near_duplicates_across_a_leader(spark):
-    """Chains whose links lie between documents near a leader and others that are not near it themselves."""
+    """Families at similarities around the threshold, against brute force. Bands alone may find these links as well."""
     r = random.Random(8)
     own = neardup._Read(neardup._Words())
     data = []
@@ -202,6 +202,14 @@ def test_near_duplicates_across_a_leader(spark):
     assert got == {i: root(i) for i, _ in data}
 
 
+def test_across(spark):
+    """Members near a leader meet its fringe, but not members of their own class or another leader's fringe."""
+    near = spark.createDataFrame([(1, 2), (1, 3), (1, 2), (9, 8)], "lead long, id long")
+    fringe = spark.createDataFrame([(1, 4), (1, 5), (7, 6)], "lead long, id long")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (8, 8), (9, 8)], "id long, class long")
+    assert sorted(map(tuple, neardup.across(near, fringe, labels).collect())) == [(2, 4), (3, 4)]
+
+
 def test_token_blocks_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 63, 1024, 5000):
