@@ -15,7 +15,11 @@ sketches are verified. At a k-mer similarity of 0.8 (about 31 agree) a pair fail
 4. Members near a leader are then compared with its fringe. Distances (1 - Jaccard) obey the triangle inequality: what is
    near a member that is itself near the leader has a similarity of at least 0.6 to the leader. Such documents agree on
    about 17 sketches with it; those that agree on `FRINGE` and are still in another class meet the leader's members.
-5. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
+5. From the second round on, texts meet only where an exact bound allows it. A k-mer that no other text still in play has
+   cannot be shared, so a text's overlap with any other is at most the number of its remaining k-mers, and a similarity of
+   0.8 needs an overlap of 4/9 of both sizes. A text with many k-mers of its own can only be near shorter texts, in the end
+   none, and leaves. So in a group of texts at similarities from 0.4 to 0.8 most never meet.
+6. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
 
 Defined cases: null texts, empty ones and others without words are in a class of their own
 each; texts of fewer than five words are one k-mer; rows that repeat a doc_id give a row each, and are one document
@@ -25,6 +29,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -119,14 +124,16 @@ def sketch(kmers: np.ndarray, chunk: int = 4096) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for b in batches:
-        k1, k2, sketches = [], [], []
+        k1, k2, sketches, sizes = [], [], [], []
         for text in b.column("text").to_pylist():
             h = word_hashes(text, words)
             raw = h.tobytes()
             k1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if raw else None)
             k2.append(xxhash.xxh64_intdigest(raw) - (1 << 63) if raw else None)
-            sketches.append(sketch(labelled_kmers(h)) if raw else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "tkey", "k1", "k2", "sk"])
+            kmers = labelled_kmers(h)
+            sizes.append(len(kmers))
+            sketches.append(sketch(kmers) if raw else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["doc_id", "tkey", "k1", "k2", "sk", "size"])
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -219,10 +226,10 @@ def components(edges: DataFrame, start: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class)."""
     base = keyed(docs, id_col, text_col)
-    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>"))
+    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>, size long"))
     with_words = rows.where("k1 is not null and doc_id is not null")
     # the representative of equal texts: the smallest doc_id, and the text key that its text has
-    reps = stored(with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "sk"))
+    reps = stored(with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk"), F.first("size").alias("size")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "sk", "size"))
     # rows of one doc_id with several texts are one node of the graph: ids name nodes
     texts = base.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
     spread = reps.select(F.col("rep").alias("id"), F.posexplode(bands("sk")).alias("band", "h")).distinct()
@@ -231,10 +238,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = stored(spread.join(shared, ["band", "h"]))
     support = buckets.join(buckets.groupBy("band", "h").agg(F.count("*").alias("n")), ["band", "h"]).groupBy("id").agg(F.sum("n").alias("support"))
     buckets = stored(buckets.join(support, "id"))
-    keys = reps.groupBy("rep").agg(F.min_by("sk", "rep_key").alias("sk"), F.min("rep_key").alias("rep_key")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
-    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "sk").dropDuplicates(["id"]))
+    keys = reps.groupBy("rep").agg(F.min_by("sk", "rep_key").alias("sk"), F.min_by("size", "rep_key").alias("size"), F.min("rep_key").alias("rep_key")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
+    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "sk", "size").dropDuplicates(["id"]))
     labels = stored(reps.select(F.col("rep").alias("id"), F.col("rep").alias("class")).distinct())
-    tested = near_lead = fringe = None
+    tested = near_lead = fringe = limits = None
     leads = 1
     while not buckets.isEmpty():
         part = F.pmod(F.xxhash64("id"), F.lit(leads))
@@ -242,6 +249,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         known = labels.select("id", "class")
         led = stored(buckets.join(lead.drop("part"), ["band", "h"]).join(known, "id").join(known.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead"))
         pairs = led.where("class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        pairs = pairs if limits is None else possible(pairs, limits)
         pairs = stored(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         scored = stored(verify(pairs, there))
         tested = scored if tested is None else tested.unionByName(scored)
@@ -257,10 +265,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         ahead = met_by.groupBy("id", "band", "h", "support").agg(F.bool_or(F.col("near") | (F.col("id") == F.col("lead"))).alias("done")).where("not done").drop("done")
         ahead = stored(ahead.join(now, "id"))
         open_ = ahead.groupBy("band", "h").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("band", "h")
-        buckets = stored(ahead.join(open_, ["band", "h"]).select("id", "band", "h", "support"))
+        if limits is None:
+            # all that may yet be compared: who shares a leader with an unmet document, or was led by one of them
+            leaders = met_by.join(ahead.select("band", "h").distinct(), ["band", "h"], "left_semi").select("lead").union(ahead.select("id")).distinct()
+            limits = stored(overlaps(there.join(met_by.join(leaders, "lead", "left_semi").select("id").distinct(), "id", "left_semi")))
+        buckets = stored(with_partners(ahead.join(open_, ["band", "h"]), limits).select("id", "band", "h", "support"))
         leads *= GROWTH
     if tested is not None:
-        pairs = stored(across(near_lead, fringe, labels).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        pairs = stored(across(near_lead, fringe, labels, limits).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         late = stored(verify(pairs, there).where("near"))
         if not late.isEmpty():
             labels = components(tested.where("near").unionByName(late), labels)
@@ -274,14 +286,60 @@ def bands(sk: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice(sk, i * ROWS + 1, ROWS)))
 
 
-def across(near_lead: DataFrame, fringe: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document near a leader and one of the leader's fringe that are in different classes. A leader's
-    fringe is spread over SALTS parts."""
+def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = _Words()
+    for b in batches:
+        for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            kmers = labelled_kmers(word_hashes(text, words)).view(np.int64)
+            for at in range(0, len(kmers), 100_000):
+                part = kmers[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), id_, np.int64)), pa.array(part)], names=["id", "kmer"])
+
+
+def overlaps(texts: DataFrame) -> DataFrame:
+    """id, size (k-mers), most (k-mers that another of these texts has too: no overlap is larger)."""
+    rows = texts.select("id", "text").mapInArrow(_kmer_rows, "id long, kmer long")
+    alone = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return texts.select("id", "size").join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
+def _reach() -> Column:
+    """The largest size that a text near this one can have: J >= LEAST needs an overlap of LEAST / (1 + LEAST) of both sizes."""
+    return F.col("most") * ((1 + LEAST) / LEAST) - F.col("size") + 1e-6
+
+
+def _step(size: Column) -> Column:
+    """Sizes by steps of 2 %."""
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(1.02)).cast("int")
+
+
+def with_partners(buckets: DataFrame, limits: DataFrame) -> DataFrame:
+    """Rows of buckets in which another text's size is in reach of the row's, and the row's in reach of the other's size."""
+    sized = buckets.join(limits, "id").where(_reach() >= F.col("size") * LEAST)
+    sized = stored(sized.withColumn("step", _step(F.col("size"))))
+    sizes = sized.groupBy("band", "h").agg(F.collect_set("step").alias("_steps"), F.count("*").alias("_n")).where("_n > 1")
+    low, high = _step(F.col("size") * LEAST), _step(_reach())
+    return sized.join(sizes, ["band", "h"]).where(F.exists("_steps", lambda x: (x >= low) & (x <= high)))
+
+
+def possible(pairs: DataFrame, limits: DataFrame) -> DataFrame:
+    """Pairs whose texts' sizes are in each other's reach."""
+    a = limits.select(F.col("id").alias("a"), F.col("size").alias("_size_a"), _reach().alias("_reach_a"))
+    b = limits.select(F.col("id").alias("b"), F.col("size").alias("_size_b"), _reach().alias("_reach_b"))
+    return pairs.join(a, "a").join(b, "b").where("_size_b <= _reach_a and _size_a <= _reach_b").select("a", "b")
+
+
+def across(near_lead: DataFrame, fringe: DataFrame, labels: DataFrame, limits: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a document near a leader and one of the leader's fringe that are in different classes and whose
+    sizes are in each other's reach. They meet by steps of size, a leader's fringe spread over SALTS parts."""
     part = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("part")
-    outer = fringe.distinct().join(labels, "id").select("lead", part, F.col("id").alias("y"), F.col("class").alias("y_class"))
-    inner = near_lead.distinct().join(fringe.select("lead").distinct(), "lead", "left_semi").join(labels, "id")
-    inner = inner.select(F.col("lead").alias("_lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_part"), F.col("id").alias("x"), F.col("class").alias("x_class"))
-    met = outer.join(inner, (F.col("lead") == F.col("_lead")) & (F.col("part") == F.col("_part")) & (F.col("x_class") != F.col("y_class")))
+    sized = labels.join(limits.withColumn("reach", _reach()), "id")
+    outer = fringe.distinct().join(sized, "id").where(F.col("reach") >= F.col("size") * LEAST)
+    outer = outer.select("lead", part, F.col("id").alias("y"), F.col("class").alias("y_class"), F.col("size").alias("y_size"), F.col("reach").alias("y_reach"), F.explode(F.sequence(_step(F.col("size") * LEAST), _step(F.col("reach")))).alias("step"))
+    inner = near_lead.distinct().join(fringe.select("lead").distinct(), "lead", "left_semi").join(sized, "id")
+    inner = inner.select(F.col("lead").alias("_lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_part"), F.col("id").alias("x"), F.col("class").alias("x_class"), F.col("size").alias("x_size"), F.col("reach").alias("x_reach"), _step(F.col("size")).alias("_step"))
+    same = (F.col("lead") == F.col("_lead")) & (F.col("part") == F.col("_part")) & (F.col("step") == F.col("_step"))
+    met = outer.join(inner, same & (F.col("x_class") != F.col("y_class")) & (F.col("x_size") <= F.col("y_reach")) & (F.col("y_size") <= F.col("x_reach")))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 

@@ -207,7 +207,29 @@ def test_across(spark):
     near = spark.createDataFrame([(1, 2), (1, 3), (1, 2), (9, 8)], "lead long, id long")
     fringe = spark.createDataFrame([(1, 4), (1, 5), (7, 6)], "lead long, id long")
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (6, 6), (8, 8), (9, 8)], "id long, class long")
-    assert sorted(map(tuple, neardup.across(near, fringe, labels).collect())) == [(2, 4), (3, 4)]
+    limits = spark.createDataFrame([(i, 100, 100) for i in range(1, 10)], "id long, size long, most long")
+    assert sorted(map(tuple, neardup.across(near, fringe, labels, limits).collect())) == [(2, 4), (3, 4)]
+    # 3 has 20 k-mers of its own, so nothing of 4's size is in its reach; 2 with 5 reaches 90 to 113
+    limits = spark.createDataFrame([(1, 100, 100), (2, 100, 95), (3, 100, 80), (4, 102, 102), (5, 100, 100)], "id long, size long, most long")
+    assert sorted(map(tuple, neardup.across(near, fringe, labels, limits).collect())) == [(2, 4)]
+
+
+def test_overlap_bounds_keep_every_near_pair(spark):
+    data = [(i, t) for i, t in near_rows() if t]
+    texts = spark.createDataFrame([(i, t, len(neardup.labelled_kmers(neardup.word_hashes(t, neardup._Words())))) for i, t in data], "id long, text string, size long")
+    own = neardup._Read(neardup._Words())
+    kmers = {i: set(own[t][1].tolist()) for i, t in data}
+    limits = neardup.overlaps(texts).cache()
+    want = {i: (len(k), sum(any(x in o for j, o in kmers.items() if j != i) for x in k)) for i, k in kmers.items()}
+    assert {r["id"]: (r["size"], r["most"]) for r in limits.collect()} == want
+    pairs = [(i, j) for i, _ in data for j, _ in data if i < j]
+    near = {(i, j) for (i, a) in data for (j, b) in data if i < j and neardup.near(a, b, own)}
+    kept = set(map(tuple, neardup.possible(spark.createDataFrame(pairs, "a long, b long"), limits).collect()))
+    assert near and near <= kept and len(kept) < len(pairs)
+    # all in one bucket: who has a near partner stays, who shares too little with all others goes
+    one = spark.createDataFrame([(i, 0, 0, 1) for i, _ in data], "id long, band int, h long, support long")
+    stay = {r["id"] for r in neardup.with_partners(one, limits).collect()}
+    assert {x for p in near for x in p} <= stay and not [i for i, (size, most) in want.items() if i in stay and 1.0001 * most < 0.8 * size]
 
 
 def test_token_blocks_round_trip():
