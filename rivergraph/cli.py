@@ -1,36 +1,26 @@
-"""The command line: define-roi and aggregate. `python -m rivergraph.cli --help`."""
+"""The command line: define-roi, aggregate and terrain-products. `python -m rivergraph.cli --help`."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import SparkSession
 
 from rivergraph.errors import RiverGraphError
 from rivergraph.functions.scratch import clear_scratch
 from rivergraph.operators.coarsen import aggregate_minibasins
 from rivergraph.operators.roi import define_roi
-from rivergraph.operators.topology import resolve_column
+from rivergraph.operators.terrain import create_terrain_products
+from rivergraph.operators.topology import coerce_outlets
 from rivergraph.sources.paths import mini_paths, roi_paths
 from rivergraph.sources.vector import Layer, read_vector, write_vector
 
 
-def coerced(values: list[str], segments: DataFrame, column: str) -> list:
-    """Outlet ids in the type of the id column."""
-    kind = segments.schema[column].dataType
-    to = int if isinstance(kind, T.IntegralType) else float if isinstance(kind, T.FractionalType) else str
-    try:
-        return [to(v) for v in values]
-    except ValueError as e:
-        raise RiverGraphError(f"--outlet-id: {e}") from e
-
-
 def define_roi_command(spark: SparkSession, a: argparse.Namespace) -> None:
     paths = roi_paths(a.output_dir, a.output_format)
     catchments, segments = read_vector(spark, a.catchments), read_vector(spark, a.segments)
-    outlets = coerced(a.outlet_id, segments.rows, resolve_column(segments.rows, a.id_col))
+    outlets = coerce_outlets(segments.rows, a.outlet_id, a.id_col)
     roi = define_roi(
         catchments.rows, segments.rows, outlet_ids=outlets, destine_crs=a.destine_crs, source_crs=a.source_crs, catchments_crs=catchments.crs, segments_crs=segments.crs,
         id_col=a.id_col, id_down_col=a.id_down_col, strahler_order_col=a.strahler_order_col,
@@ -45,6 +35,19 @@ def aggregate_command(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(zip(minis, paths, (catchments.crs, segments.crs, catchments.crs), strict=True), a.output_format)
 
 
+def terrain_command(spark: SparkSession, a: argparse.Namespace) -> None:
+    report = create_terrain_products(
+        a.dem, read_vector(spark, a.roi_catchments), read_vector(spark, a.roi_segments), a.output_dir, id_col=a.id_col, write_flow_direction=a.write_flow_direction,
+        agree_sharp=a.agree_sharp, agree_smooth=a.agree_smooth, agree_buffer=a.agree_buffer,
+    )
+    for path in filter(None, report.paths):
+        print(f"Wrote {path}")
+    print(f"Cells: {report.owned_cells} owned, {report.drainage_cells} drainage; unreachable components: {report.unreachable_components}")
+    print(f"Timing: conditioning {report.conditioning_seconds:.3f}s, routing {report.routing_seconds:.3f}s, JIT/cache initialization {report.jit_compilation_seconds:.3f}s, raster I/O {report.raster_io_seconds:.3f}s")
+    some = f", range {report.negative_hand_min:g} to {report.negative_hand_max:g} m" if report.negative_hand_cells else ""
+    print(f"Negative HAND: {report.negative_hand_cells} cells{some}")
+
+
 def _write(layers, output_format: str) -> None:
     for rows, path, crs in layers:
         write_vector(Layer(rows, crs), path, output_format=output_format)
@@ -68,8 +71,17 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--uparea-min", "--lmin"):
         mini.add_argument(name, type=float, required=True)
     mini.set_defaults(run=aggregate_command)
+    terrain = commands.add_parser("terrain-products", help="HAND and LTND grids of catchments", allow_abbrev=False)
+    for name in ("--dem", "--roi-catchments", "--roi-segments", "--output-dir"):
+        terrain.add_argument(name, required=True)
+    terrain.add_argument("--id-col", default="id")
+    terrain.add_argument("--write-flow-direction", action="store_true")
+    terrain.add_argument("--agree-sharp", type=float, default=80.0, help="how much deeper drainage cells are cut, in units of elevation")
+    terrain.add_argument("--agree-smooth", type=float, default=8.0, help="how much a cell falls for each cell nearer to drainage")
+    terrain.add_argument("--agree-buffer", type=int, default=4, help="how many cells from drainage the fall begins")
+    terrain.set_defaults(run=terrain_command)
     for p in (roi, mini):
-        p.add_argument("--output-format", default="gpkg")
+        p.add_argument("--output-format", default="fgb")
     return top
 
 

@@ -1,4 +1,8 @@
-"""Planar geometry on WKB (2-D points, lines, polygons and their multiples), with numpy inside Arrow batches."""
+"""Planar geometry on WKB (points, lines, polygons and their multiples), with numpy inside Arrow batches.
+
+Heights and measures (ISO codes from 1000 on, or the flags of extended WKB) are read past and dropped; other kinds of
+geometry, such as collections, raise InvalidInputSchemaError.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivergraph.errors import InvalidInputSchemaError
+
 POINT, LINE, POLYGON, MULTIPOINT, MULTILINE, MULTIPOLYGON = range(1, 7)
 
 
@@ -21,12 +27,17 @@ def parse(wkb: bytes) -> tuple[int, list]:
 
 def _parse(b: bytes, at: int) -> tuple[int, list, int]:
     end = "<" if b[at] else ">"
-    kind, at = struct.unpack_from(end + "I", b, at + 1)[0] & 0xFF, at + 5
+    code, at = struct.unpack_from(end + "I", b, at + 1)[0], at + 5
+    flags, (iso, kind) = code >> 29, divmod(code & 0x0FFFFFFF, 1000)
+    width = 2 + (iso in (1, 3) or bool(flags & 4)) + (iso in (2, 3) or bool(flags & 2))
+    at += 4 * (flags & 1)  # a system of coordinates inside extended WKB
+    if iso > 3 or not POINT <= kind <= MULTIPOLYGON:
+        raise InvalidInputSchemaError(f"geometry of an unknown kind: {code}")
 
     def points(at: int, n: int | None = None) -> tuple[np.ndarray, int]:
         if n is None:
             n, at = struct.unpack_from(end + "I", b, at)[0], at + 4
-        return np.frombuffer(b, end + "f8", 2 * n, at).reshape(n, 2).astype(float), at + 16 * n
+        return np.frombuffer(b, end + "f8", width * n, at).reshape(n, width)[:, :2].astype(float), at + 8 * width * n
 
     if kind == POINT:
         p, at = points(at, 1)
@@ -133,67 +144,181 @@ def total_bounds(df: DataFrame, col: str = "geometry") -> DataFrame:
 
 
 def union_polygons(parts: list) -> bytes:
-    """The union of polygons that share edges vertex by vertex: edges met twice cancel, the rest is stitched to rings.
-    Raises ValueError where they don't close, as with overlaps or T-junctions."""
+    """The union of polygons. Where they share edges vertex by vertex and meet nowhere else, edges met twice cancel; if not
+    (overlaps, T-junctions, crossings), edges are cut where they meet, and those with the union on one side alone stay."""
+    rings = [r if (ring_area(r) < 0) == bool(k) else r[::-1] for shape in parts for k, r in enumerate(shape) if len(r) > 3]
+    if not rings:
+        return build(MULTIPOLYGON, [])
     edges: dict = {}
-    for rings in parts:
-        for k, r in enumerate(rings):
-            if (ring_area(r) < 0) != bool(k):
-                r = r[::-1]
-            p = list(map(tuple, r.tolist()))
-            for a, b in zip(p, p[1:], strict=False):
-                if edges.pop((b, a), None) is None and a != b:
-                    if (a, b) in edges:
-                        raise ValueError("polygons overlap along an edge")
-                    edges[a, b] = True
+    plain = True
+    for r in rings:
+        p = list(map(tuple, r.tolist()))
+        for a, b in zip(p, p[1:], strict=False):
+            if a != b and edges.pop((b, a), None) is None:
+                plain = plain and (a, b) not in edges
+                edges[a, b] = True
+    kept = np.array([(*a, *b) for a, b in edges]).reshape(-1, 4)
+    if not plain or _meet(kept) or _covered_outside(kept, rings):
+        kept = _outline(rings)
+    return _stitched([((x1, y1), (x2, y2)) for x1, y1, x2, y2 in kept.tolist()])
+
+
+def _near_pairs(e: np.ndarray, tolerance: float):
+    """Pairs of edges (rows x1, y1, x2, y2) whose boxes meet, as two arrays of numbers; in slices, by a sweep along x."""
+    lo, hi = np.minimum(e[:, :2], e[:, 2:]) - tolerance, np.maximum(e[:, :2], e[:, 2:]) + tolerance
+    order = np.argsort(lo[:, 0], kind="stable")
+    upto = np.searchsorted(lo[order, 0], hi[order, 0], "right")
+    counts = upto - np.arange(len(order)) - 1
+    at = 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(counts[at:]), 2_000_000)) + at)
+        n = counts[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = order[i], order[j]
+        both = (lo[i, 1] <= hi[j, 1]) & (lo[j, 1] <= hi[i, 1])
+        yield i[both], j[both]
+        at = end
+
+
+def _tolerance(e: np.ndarray) -> float:
+    return 1e-9 * float(np.abs(e).max(initial=1.0))
+
+
+def _crossings(a: np.ndarray, b: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of edges: positions (0 to 1) on a, and on b, at which they cross away from their ends; NaN if not. And, as
+    further columns, where each one's ends lie on the other."""
+    d, f, w = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2], b[:, :2] - a[:, :2]
+    cross = d[:, 0] * f[:, 1] - d[:, 1] * f[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (w[:, 0] * f[:, 1] - w[:, 1] * f[:, 0]) / cross, (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / cross
+    inside = (t > 0) & (t < 1) & (u > 0) & (u < 1) & np.isfinite(t) & np.isfinite(u)
+
+    def on(p: np.ndarray, e: np.ndarray) -> np.ndarray:
+        v = e[:, 2:] - e[:, :2]
+        size = np.maximum((v**2).sum(axis=1), 1e-300)
+        q = ((p - e[:, :2]) * v).sum(axis=1) / size
+        off = np.hypot(*(e[:, :2] + q[:, None] * v - p).T)
+        away = np.minimum(np.abs(q), np.abs(1 - q)) * np.sqrt(size) > tolerance
+        return np.where((off <= tolerance) & (q > 0) & (q < 1) & away, q, np.nan)
+
+    return np.column_stack([np.where(inside, t, np.nan), on(b[:, :2], a), on(b[:, 2:], a)]), np.column_stack([np.where(inside, u, np.nan), on(a[:, :2], b), on(a[:, 2:], b)])
+
+
+def _meet(e: np.ndarray) -> bool:
+    """Whether edges touch anywhere but end to end."""
+    tolerance = _tolerance(e)
+    return any(np.isfinite(np.hstack(_crossings(e[i], e[j], tolerance))).any() for i, j in _near_pairs(e, tolerance))
+
+
+def _covers(rings: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether any polygon holds each point: windings of all rings, shells left-handed and holes right-handed."""
+    e = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
+    wind = np.zeros(len(x), np.int64)
+    step = max(1, 2_000_000 // len(e))
+    for at in range(0, len(x), step):
+        px, py = x[at : at + step, None], y[at : at + step, None]
+        up, down = (e[:, 1] <= py) & (e[:, 3] > py), (e[:, 3] <= py) & (e[:, 1] > py)
+        left = (e[:, 2] - e[:, 0]) * (py - e[:, 1]) - (px - e[:, 0]) * (e[:, 3] - e[:, 1])
+        wind[at : at + step] = (up & (left > 0)).sum(axis=1) - (down & (left < 0)).sum(axis=1)
+    return wind > 0
+
+
+def _beside(e: np.ndarray, share: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Points a little to the left and to the right of the middles of edges."""
+    middle, d = (e[:, :2] + e[:, 2:]) / 2, (e[:, 2:] - e[:, :2]) * share
+    side = np.column_stack([-d[:, 1], d[:, 0]])
+    return middle + side, middle - side
+
+
+def _covered_outside(e: np.ndarray, rings: list) -> bool:
+    """Whether an edge has a polygon on its outer side too, as where one polygon lies inside another."""
+    _, right = _beside(e)
+    return bool(_covers(rings, right[:, 0], right[:, 1]).any())
+
+
+def _outline(rings: list) -> np.ndarray:
+    """Edges of the union, its inside on their left: all edges cut where they meet, once each, with the inside on one side."""
+    e = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings])
+    tolerance = _tolerance(e)
+    cuts: dict[int, list[float]] = defaultdict(list)
+    for i, j in _near_pairs(e, tolerance):
+        for own, found in zip((i, j), _crossings(e[i], e[j], tolerance), strict=True):
+            at, col = np.nonzero(np.isfinite(found))
+            for k, q in zip(own[at].tolist(), found[at, col].tolist(), strict=True):
+                cuts[k].append(q)
+    known: dict[tuple, tuple] = {}
+
+    def snap(x: float, y: float) -> tuple:
+        """The point itself, or one within the tolerance that came before."""
+        i, j = round(x / (4 * tolerance)), round(y / (4 * tolerance))
+        for key in ((i, j), *((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1))):
+            q = known.get(key)
+            if q is not None and max(abs(q[0] - x), abs(q[1] - y)) <= 4 * tolerance:
+                return q
+        return known.setdefault((i, j), (x, y))
+
+    for x, y in e[:, :2].tolist():
+        snap(x, y)
+    pieces = set()
+    for k, (x1, y1, x2, y2) in enumerate(e.tolist()):
+        way = [snap(x1 + q * (x2 - x1), y1 + q * (y2 - y1)) for q in (0.0, *sorted(cuts.get(k, ())), 1.0)]
+        pieces.update((min(a, b), max(a, b)) for a, b in zip(way, way[1:], strict=False) if a != b)
+    flat = np.array([(*a, *b) for a, b in sorted(pieces)])
+    left, right = (_covers(rings, p[:, 0], p[:, 1]) for p in _beside(flat))
+    turned = flat[:, [2, 3, 0, 1]]
+    return np.vstack([flat[left & ~right], turned[right & ~left]])
+
+
+def _stitched(edges: list) -> bytes:
+    """Polygons from directed edges with the inside on their left."""
     ahead = defaultdict(list)
     for a, b in edges:
         ahead[a].append(b)
     outer, holes = [], []
-    while ahead:
-        start = min(ahead)
-        ring, at = [start], start
-        while True:
-            if not ahead.get(at):
-                raise ValueError("edges don't close to a ring")
-            before = ring[-2] if len(ring) > 1 else None
-            # at a vertex where rings touch, turn as far left as the edges allow
-            out = ahead[at]
-            nxt = out[0] if len(out) == 1 or before is None else min(out, key=lambda t: _turn(before, at, t))
-            out.remove(nxt)
-            if not out:
-                del ahead[at]
-            ring.append(nxt)
-            at = nxt
-            if at == start:
-                break
-        r = np.array(ring)
-        (outer if ring_area(r) > 0 else holes).append(r)
+    starts = iter(sorted(ahead))
+    for start in starts:
+        while ahead.get(start):
+            ring, at = [start], start
+            while True:
+                if not ahead.get(at):
+                    raise InvalidInputSchemaError("polygons cannot be united: an outline does not close")
+                before = ring[-2] if len(ring) > 1 else None
+                # at a vertex where rings touch, turn as far left as the edges allow
+                out = ahead[at]
+                nxt = out[0] if len(out) == 1 or before is None else min(out, key=lambda t: _turn(before, at, t))
+                out.remove(nxt)
+                ring.append(nxt)
+                at = nxt
+                if at == start:
+                    break
+            r = np.array(ring)
+            (outer if ring_area(r) > 0 else holes).append(r)
     outer.sort(key=lambda r: ring_area(r))
     shells = [[r] for r in outer]
     for h in holes:
-        for s in shells:  # smallest first
-            if _inside(h, s[0]):
-                s.append(h)
+        inner, _ = _beside(np.hstack([h[:-1], h[1:]])[:1])  # a point of the union beside the hole
+        for shell in shells:  # smallest first
+            if _covers([shell[0]], inner[:, 0], inner[:, 1])[0]:
+                shell.append(h)
                 break
     return build(POLYGON if len(shells) == 1 else MULTIPOLYGON, shells)
 
 
+def holds(shell: np.ndarray, ring: np.ndarray) -> bool:
+    """Whether a ring that does not cross the shell lies inside it: a point just inside the ring does."""
+    shell = shell if ring_area(shell) > 0 else shell[::-1]
+    ring = ring if ring_area(ring) > 0 else ring[::-1]
+    inner, _ = _beside(np.hstack([ring[:-1], ring[1:]])[:1])
+    return bool(_covers([shell], inner[:, 0], inner[:, 1])[0])
+
+
 def _turn(a, b, c) -> float:
     """Angle from the way back to the way on, counter-clockwise negative first."""
     back, on = np.arctan2(a[1] - b[1], a[0] - b[0]), np.arctan2(c[1] - b[1], c[0] - b[0])
     return float((back - on) % (2 * np.pi)) or 2 * np.pi
 
 
-def _inside(hole: np.ndarray, shell: np.ndarray) -> bool:
-    x, y = hole[:-1].mean(axis=0) if len(hole) > 3 else hole[0]
-    x1, y1, x2, y2 = shell[:-1, 0], shell[:-1, 1], shell[1:, 0], shell[1:, 1]
-    cross = (y1 > y) != (y2 > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = x1 + (y - y1) / (y2 - y1) * (x2 - x1)
-    return bool(np.sum(cross & (x < at)) % 2)
-
-
 def union_all(wkbs: list[bytes]) -> bytes | None:
     """Union of one group: polygons by edge cancellation, lines as the collection of their parts."""
     shapes = [parse(w) for w in wkbs if w is not None]
@@ -215,11 +340,11 @@ def dissolve(df: DataFrame, by: str, col: str = "geometry") -> DataFrame:
 
 
 def clip_area(a: bytes, b: bytes) -> float:
-    """Area of the intersection of two polygons' shells; convex clipping against each triangle of b's fan, signed."""
+    """Area of the intersection of two polygons: shells less holes, each pair of rings by signed triangles."""
     total = 0.0
     for ra in parse(a)[1]:
         for rb in parse(b)[1]:
-            total += _shell_overlap(ra[0], rb[0])
+            total += sum((-1) ** (bool(i) + bool(j)) * _shell_overlap(p, q) for i, p in enumerate(ra) for j, q in enumerate(rb))
     return total
 
 

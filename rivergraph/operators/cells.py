@@ -16,6 +16,9 @@ from rivergraph.errors import TerrainProductsError, TopologyCycleError
 from .doubling import path_fold
 
 #: Directions 1 to 8 are N NE E SE S SW W NW, as (row, column) steps; 0 ends, -1 is no data.
+#: SCAN: the order in which crossings from one cell are met when cells are read row by row, each with its neighbours
+#: to the E, SE, S and SW, both ways: those from the cells before it come first.
+SCAN = (8, 1, 2, 7, 3, 4, 5, 6)
 OFFSETS = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
 
 
@@ -144,13 +147,13 @@ def corridor_costs(directed: DataFrame, width: float, height: float) -> DataFram
 
 def basin_edges(directed: DataFrame, width: float, height: float) -> DataFrame:
     """source, target (basins), cut_max, cut_sum, length, orow, ocol, drow, dcol: between adjacent basins of a label, the
-    crossing of least (cut_max, cut_sum, length with the step, origin cell)."""
+    crossing of least (cut_max, cut_sum, length with the step, origin cell), of equal ones the first in the order of SCAN."""
     way = routes(directed, width, height)
     facts = corridor_costs(directed, width, height).join(basins(way), ["row", "col"])
     near = neighbours(directed.withColumn("is_drain", F.lit(False)), width, height)
     one = near.join(facts, ["row", "col"]).join(facts.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("basin").alias("target")), ["nrow", "ncol"]).where("basin <> target")
-    cost = F.struct("cut_max", "cut_sum", (F.col("length") + F.col("dist")).alias("length"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.col("nrow").alias("drow"), F.col("ncol").alias("dcol"))
-    return one.groupBy(F.col("basin").alias("source"), "target").agg(F.min(cost).alias("c")).select("source", "target", "c.*")
+    cost = F.struct("cut_max", "cut_sum", (F.col("length") + F.col("dist")).alias("length"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.array_position(F.array(*map(F.lit, SCAN)), F.col("code")).alias("met"), F.col("nrow").alias("drow"), F.col("ncol").alias("dcol"))
+    return one.groupBy(F.col("basin").alias("source"), "target").agg(F.min(cost).alias("c")).select("source", "target", "c.*").drop("met")
 
 
 def rank_report(cells: DataFrame, hands: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def aggregate_minibasins(catchments: DataFrame, segments: DataFrame, *, uparea_m
     rest = facts.select("id").join(kept, "id", "left_anti")
     late = assign_nearest(rest, nodes, kept, alive)
     everyone = stored(kept.unionByName(late))
-    cat = catchments.withColumn("id", F.col("id").cast(kind)).join(everyone, "id", "left")
+    cat = catchments.withColumn("_at", F.monotonically_increasing_id()).withColumn("id", F.col("id").cast(kind)).join(everyone, "id", "left")
     if some := [str(r[0]) for r in cat.where("mini_id is null").select("id").limit(20).collect()]:
         raise InvalidInputSchemaError(f"Catchment ID(s) have no eligible aggregation target in the same sub: {', '.join(some)}")
     reps = representatives(eligible, kept)
@@ -176,4 +176,5 @@ def aggregate_minibasins(catchments: DataFrame, segments: DataFrame, *, uparea_m
     out_segments = attrs.join(seg_shape, "mini_id")
     out_catchments = attrs.drop("unit_area").join(cat_area, "mini_id").join(cat_shape, "mini_id")
     finish = lambda df: df.orderBy(F.col("mini_id").cast("string")).withColumn("mini_label", F.col("mini_id")).select(*columns)
-    return Minis(finish(out_catchments), finish(out_segments), cat.select("id", "mini_id", "sub", "geometry"))
+    # the mapping keeps the order of the catchments, the layers that of the labels as text
+    return Minis(finish(out_catchments), finish(out_segments), cat.orderBy("_at").select("id", "mini_id", "sub", "geometry"))

@@ -1,7 +1,8 @@
 """Pointer doubling: recursive questions about a forest in a logarithm of rounds.
 
-A table of nodes has id, p (the node 2**k steps downstream, null past a root) and value columns. One round is a self-join
-on p = id; its result is written to the shared scratch folder, so plans don't grow and a lost executor costs one round.
+A table of nodes has id, p (the node 2**k steps downstream, null past a root) and value columns. A round joins the nodes
+whose way has not ended with the nodes they point to, and writes those alone to the shared scratch folder: a node whose way
+has ended is written once. So plans don't grow, a lost executor costs one round, and rounds shrink as ways end.
 """
 
 from __future__ import annotations
@@ -16,16 +17,21 @@ from rivergraph.errors import TopologyCycleError
 from rivergraph.functions.scratch import stored
 
 
-def _rounds(nodes: DataFrame, step: Callable[[DataFrame], DataFrame], cycles: bool = False) -> DataFrame:
-    nodes = stored(nodes)
-    most = math.ceil(math.log2(max(2, nodes.count()))) + 1
-    for _ in range(most):
-        if nodes.where("p is not null").isEmpty():
-            return nodes
-        nodes = stored(step(nodes))
-    if not cycles and not nodes.where("p is not null").isEmpty():
-        raise TopologyCycleError("the network has a cycle")
-    return nodes
+def _open(nodes: DataFrame) -> DataFrame:
+    return nodes.where("p is not null")
+
+
+class _Rounds:
+    """Counts rounds, and tells when there were more than a forest of these nodes can need."""
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes, self.done, self.most = nodes, 0, 8
+
+    def over(self) -> bool:
+        self.done += 1
+        if self.done == 8:  # most forests end sooner and are never counted
+            self.most = math.ceil(math.log2(max(2, self.nodes.count()))) + 1
+        return self.done > max(8, self.most)
 
 
 def path_fold(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Column]], cycles: bool = False) -> DataFrame:
@@ -33,27 +39,57 @@ def path_fold(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Co
     are not an error but keep their p (the fold must then bear repeats). combine: value column -> how a value and
     the one that continues it further down make one. id, p and the values only."""
     names = list(combine)
-
-    def step(now: DataFrame) -> DataFrame:
-        ahead = now.select(F.col("id").alias("_id"), F.col("p").alias("_p"), *(F.col(n).alias(f"_{n}") for n in names))
-        joined = now.select("id", "p", *names).join(ahead, F.col("p") == F.col("_id"), "left")
-        return joined.select("id", F.col("_p").alias("p"), *(F.when(F.col("_id").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names))
-
-    out = _rounds(nodes.select("id", "p", *names), step, cycles)
+    now = stored(nodes.select("id", "p", *names))
+    ended, rounds = [now.where("p is null")], _Rounds(now)
+    while not _open(now).isEmpty():
+        if rounds.over():
+            if not cycles:
+                raise TopologyCycleError("the network has a cycle")
+            ended.append(_open(now))
+            break
+        every = _open(now)
+        for part in ended:
+            every = every.unionByName(part)
+        ahead = every.select(F.col("id").alias("_id"), F.col("p").alias("_p"), *(F.col(n).alias(f"_{n}") for n in names))
+        joined = _open(now).join(ahead, F.col("p") == F.col("_id"), "left")
+        now = stored(joined.select("id", F.col("_p").alias("p"), *(F.when(F.col("_id").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names)))
+        ended.append(now.where("p is null"))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
     return out if cycles else out.drop("p")
 
 
 def subtree_fold(nodes: DataFrame, gather: dict[str, Callable[[Column], Column]], combine: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
-    """Each value becomes the fold over its node and everything upstream. gather: the aggregate over children's values."""
+    """Each value becomes the fold over its node and everything upstream. gather: the aggregate over children's values,
+    which takes them in any order and in parts."""
     names = list(combine)
-
-    def step(now: DataFrame) -> DataFrame:
-        told = now.where("p is not null").groupBy(F.col("p").alias("_to")).agg(*(gather[n](F.col(n)).alias(f"_{n}") for n in names))
-        jump = now.select(F.col("id").alias("_id"), F.col("p").alias("_p"))
-        joined = now.join(told, F.col("id") == F.col("_to"), "left").join(jump, F.col("p") == F.col("_id"), "left")
-        return joined.select("id", F.col("_p").alias("p"), *(F.when(F.col("_to").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names))
-
-    return _rounds(nodes.select("id", "p", *names), step).drop("p")
+    fold = lambda: [F.when(F.col("_to").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names]
+    told_by = lambda df: df.groupBy(F.col("p").alias("_to")).agg(*(gather[n](F.col(n)).alias(f"_{n}") for n in names))
+    now = stored(nodes.select("id", "p", *names))
+    ended, late, rounds = [now.where("p is null")], [], _Rounds(now)
+    while not _open(now).isEmpty():
+        if rounds.over():
+            raise TopologyCycleError("the network has a cycle")
+        told = told_by(_open(now))
+        # nodes whose way has ended are told at the end, of all rounds together
+        ids = _open(now).select(F.col("id").alias("_open"))
+        late.append(told.join(ids, F.col("_to") == F.col("_open"), "left_anti"))
+        jump = _open(now).select(F.col("id").alias("_id"), F.col("p").alias("_p"))
+        joined = _open(now).join(told, F.col("id") == F.col("_to"), "left").join(jump, F.col("p") == F.col("_id"), "left")
+        now = stored(joined.select("id", F.col("_p").alias("p"), *fold()))
+        ended.append(now.where("p is null"))
+    out = ended[0]
+    for part in ended[1:]:
+        out = out.unionByName(part)
+    if late:
+        every = late[0]
+        for part in late[1:]:
+            every = every.unionByName(part)
+        told = every.groupBy("_to").agg(*(gather[n](F.col(f"_{n}")).alias(f"_{n}") for n in names))
+        out = out.join(told, F.col("id") == F.col("_to"), "left")
+        out = out.select("id", *fold())
+    return out.select("id", *names)
 
 
 def upstream_sums(nodes: DataFrame, names: list[str]) -> DataFrame:

@@ -42,9 +42,10 @@ def main_stems(nodes: DataFrame) -> DataFrame:
 
 def define_roi(
     catchments: DataFrame, segments: DataFrame, *, outlet_ids: Iterable, destine_crs: str, source_crs: str | None = None, catchments_crs: str | None = None, segments_crs: str | None = None,
-    id_col: str = "id", id_down_col: str = "id_down", strahler_order_col: str = "strahler_order",
+    id_col: str = "id", id_down_col: str = "id_down", strahler_order_col: str = "strahler_order", keep_order: bool = True,
 ) -> Roi:
-    """Both layers carry WKB in `geometry`; their CRS is source_crs, or else the one of the layer."""
+    """Both layers carry WKB in `geometry`; their CRS is source_crs, or else the one of the layer. With keep_order the rows come
+    out in the order of the input, at the price of a sort."""
     from rivergraph.functions.crs import transform_wkb
 
     ci, si = resolve_column(catchments, id_col), resolve_column(segments, id_col)
@@ -57,8 +58,8 @@ def define_roi(
     net = network(segments, si, sd)
     kind = net.schema["id"].dataType
     project = lambda crs: transform_wkb(source_crs or crs, destine_crs)
-    seg = segments.select(F.col(si).cast(kind).alias("id"), F.col(sd).cast(kind).alias("id_down"), F.col(so).cast("int").alias("strahler_order"), "geometry").join(sub, "id")
-    cat = catchments.select(F.col(ci).cast(kind).alias("id"), "geometry").join(sub, "id")
+    seg = segments.select(F.col(si).cast(kind).alias("id"), F.col(sd).cast(kind).alias("id_down"), F.col(so).cast("int").alias("strahler_order"), "geometry", F.monotonically_increasing_id().alias("_at")).join(sub, "id")
+    cat = catchments.select(F.col(ci).cast(kind).alias("id"), "geometry", F.monotonically_increasing_id().alias("_at")).join(sub, "id")
     # only selected geometries are projected and measured
     seg = seg.withColumn("geometry", project(segments_crs)("geometry")).withColumn("unit_length", geom.length("geometry") / 1000)
     cat = cat.withColumn("geometry", project(catchments_crs)("geometry")).withColumn("unit_area", geom.area("geometry") / 1e6)
@@ -71,7 +72,5 @@ def define_roi(
     stems = main_stems(nodes.join(sums, "id").select("id", "p", "sub", F.col("upstream_area").alias("area"), F.col("unit_length").alias("length")))
     facts = nodes.select("id", "unit_length", "unit_area").join(sums, "id").join(stems, "id")
     carried = seg.select("id", "id_down", "strahler_order")
-    return Roi(
-        cat.drop("unit_area").join(carried, "id", "left").join(facts, "id", "left").select(*LAYER),
-        seg.drop("unit_length").join(facts, "id").select(*LAYER),
-    )
+    finish = lambda df: (df.orderBy("_at") if keep_order else df).select(*LAYER)
+    return Roi(finish(cat.drop("unit_area").join(carried, "id", "left").join(facts, "id", "left")), finish(seg.drop("unit_length").join(facts, "id")))

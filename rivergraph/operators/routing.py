@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rivergraph.errors import TerrainProductsError
 from rivergraph.functions.scratch import stored
 
-from .cells import OFFSETS, check_drainage, opposite, step_lengths, valid
+from .cells import OFFSETS, SCAN, check_drainage, opposite, step_lengths, valid
 
 
 class Grid:
@@ -120,13 +120,13 @@ def _costs(g: Grid, code: np.ndarray, terminal: np.ndarray, rank: np.ndarray) ->
 def _boundaries(g: Grid, basin: np.ndarray, costs: np.ndarray) -> dict[int, list[tuple]]:
     """Target basin -> (cut_max, cut_sum, length, origin, destination, source), the best crossing of each ordered pair."""
     rows = []
-    for k in range(1, 9):
+    for k in SCAN:
         there = g.cells + g.jump[k]
         cross = g.inside[there] & (basin[there] != basin[g.cells])
         a, b = g.cells[cross], there[cross]
         rows.append((basin[a], basin[b], costs[0, a], costs[1, a], costs[2, a] + g.steps[k], a, b))
     source, target, cut, total, length, origin, to = (np.concatenate(x) for x in zip(*rows, strict=True))
-    # of crossings from one origin into one basin, the shorter step wins; of equal ones the first in E, SE, S, SW order
+    # of crossings from one origin into one basin, the shorter step wins; of equal ones the first in the order of SCAN
     order = np.lexsort((np.arange(len(to)), origin, length, total, cut, target, source))
     source, target = source[order], target[order]
     first = np.ones(len(order), bool)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegralType, StringType
 
-from rivergraph.errors import DuplicateSegmentIdError, MissingColumnsError, OutletNotFoundError, RiverGraphError, TopologyCycleError
+from rivergraph.errors import DuplicateSegmentIdError, InvalidInputSchemaError, MissingColumnsError, OutletNotFoundError, RiverGraphError, TopologyCycleError
 
 from .doubling import path_fold, roots
 
@@ -42,9 +42,12 @@ def is_sink(df: DataFrame, name: str) -> Column:
 
 
 def network(segments: DataFrame, id_col: str = "id", id_down_col: str = "id_down") -> DataFrame:
-    """id and p: the next node downstream, null at sinks and where it points outside. Float ids become longs."""
+    """id and p: the next node downstream, null at sinks and where it points outside. Float ids become longs; those that
+    are no whole numbers raise."""
     i, d = resolve_column(segments, id_col), resolve_column(segments, id_down_col)
     kind = "string" if isinstance(segments.schema[i].dataType, StringType) else "bigint"
+    if isinstance(segments.schema[i].dataType, FloatType | DoubleType) and not segments.where(F.col(i) != F.floor(F.col(i))).isEmpty():
+        raise InvalidInputSchemaError(f"column {i!r} holds ids that are no whole numbers")
     rows = segments.select(F.col(i).cast(kind).alias("id"), F.when(~is_sink(segments, d), F.col(d)).cast(kind).alias("d"))
     ids = rows.select(F.col("id").alias("p"))
     return rows.join(ids, rows["d"] == ids["p"], "left").select("id", "p")
@@ -77,15 +80,25 @@ def coerce_outlets(segments: DataFrame, texts: Iterable[str], id_col: str = "id"
     try:
         return [make(x) for x in texts]
     except ValueError as e:
-        raise RiverGraphError(f"Outlet ID does not fit {kind.simpleString()}: {e}") from e
+        raise RiverGraphError(f"--outlet-id does not fit {kind.simpleString()}: {e}") from e
+
+
+def whole(value) -> str:
+    """The digits of an id that is a whole number; what is no whole number raises."""
+    if isinstance(value, float) and not value.is_integer():
+        raise OutletNotFoundError(f"Outlet ID(s) not found: {value}")
+    try:
+        return str(int(value))
+    except (TypeError, ValueError) as e:
+        raise OutletNotFoundError(f"Outlet ID(s) not found: {value}") from e
 
 
 def _outlets(segments: DataFrame, outlet_ids: Iterable, id_col: str) -> DataFrame:
     """outlet_id and sub: the k-th of n gets n - k, and of repeats the last."""
     ids = list(outlet_ids)
     spark, kind = segments.sparkSession, "string" if isinstance(segments.schema[id_col].dataType, StringType) else "bigint"
-    rows = spark.createDataFrame([(str(x), len(ids) - k) for k, x in enumerate(ids)], "outlet_id string, sub int")
-    return rows.select(F.col("outlet_id").cast("double").cast(kind) if kind == "bigint" else "outlet_id", "sub").groupBy("outlet_id").agg(F.min("sub").alias("sub"))
+    rows = spark.createDataFrame([(whole(x) if kind == "bigint" else str(x), len(ids) - k) for k, x in enumerate(ids)], "outlet_id string, sub int")
+    return rows.select(F.col("outlet_id").cast(kind), "sub").groupBy("outlet_id").agg(F.min("sub").alias("sub"))
 
 
 def assign_sub(segments: DataFrame, outlet_ids: Iterable, *, id_col: str = "id", id_down_col: str = "id_down", check: bool = True) -> DataFrame:

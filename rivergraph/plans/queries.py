@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivergraph.functions import geom
-from rivergraph.operators import cells, coarsen, doubling, roi, topology
+from rivergraph.operators import cells, coarsen, doubling, roi, terrain, topology
 from rivergraph.operators.routing import flow_directions
 
-from .testbed import DEM, HEIGHT, NET_TREE, WIDTH, dem, net_chain, net_tree, polygons
+from .testbed import DEM, HEIGHT, NET_TREE, WIDTH, crowded, dem, net_chain, net_layers, net_tree, polygons, streams
 
 OUTLETS = (1, 2, 5)
 _TREE = f"with recursive {NET_TREE}"
@@ -166,7 +166,40 @@ def corridor_costs(spark, sf):
 
 
 def basin_edges(spark, sf):
-    return cells.basin_edges(_pits(spark, sf), WIDTH, HEIGHT)
+    """Over whole heights, where sums are exact and ties are many."""
+    steps = cells.natural_d8(dem(spark, sf, flats=True), WIDTH, HEIGHT).withColumn("code", F.coalesce("code", F.lit(0)))
+    found = cells.basin_edges(steps, WIDTH, HEIGHT)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("source", "target", "orow", "ocol", "drow", "dcol")})
+
+
+def _roi(spark, sf):
+    catchments, segments = net_layers(spark, sf)
+    return roi.define_roi(catchments, segments, outlet_ids=OUTLETS, destine_crs="EPSG:3857", source_crs="EPSG:3857")
+
+
+def roi_segments(spark, sf):
+    return _roi(spark, sf).segments.drop("geometry", "strahler_order").withColumn("sub", F.col("sub").cast("long"))
+
+
+def roi_catchments(spark, sf):
+    return _roi(spark, sf).catchments.select("id", "id_down", F.col("sub").cast("long").alias("sub"), "upstream_area", "water_course", geom.area("geometry").alias("square_metres"))
+
+
+def overlap_check(spark, sf):
+    return geom.overlapping(crowded(spark, sf)).withColumn("area", F.round("area", 6))
+
+
+def drainage_cells(spark, sf):
+    return geom.rasterise(streams(spark, sf), "id", (0.0, 0.0, 1.0, 1.0), lines=True).groupBy("id").agg(F.count("*").alias("cells"), F.min("col").cast("long").alias("first_col"), F.max("col").cast("long").alias("last_col"))
+
+
+def unmatched_layer_ids(spark, sf):
+    t = net_tree(spark, sf).select("id")
+    return terrain.unmatched_ids(t.where("id % 5 <> 0"), t.where("id % 7 <> 0"))
+
+
+def catchment_labels(spark, sf):
+    return terrain.labelled(polygons(spark, sf)).select("id", F.col("label").cast("long").alias("label"))
 
 
 def flow_direction_full(spark, sf):
@@ -183,7 +216,8 @@ QUERIES = {
     for f in (
         upstream_closure, upstream_closure_multi, sub_assignment, upstream_accumulation, deep_chain_accumulation, main_stem, sink_detection, dangling_pointers, duplicate_ids, missing_outlets,
         root_of, eligible_split, representative, downstream_group, short_assignment, minibasin_merge, poly_area_length, poly_bounds, dissolved_area, rasterise_cells, agree_condition, d8_natural,
-        rank_terminal, hand, ltnd, basin_labels, corridor_costs, basin_edges, flow_direction_full, negative_hand_report,
+        rank_terminal, hand, ltnd, basin_labels, corridor_costs, basin_edges, flow_direction_full, negative_hand_report, roi_segments, roi_catchments, overlap_check, drainage_cells,
+        unmatched_layer_ids, catchment_labels,
     )
 }
 
@@ -202,9 +236,21 @@ _ROUTE = f"""with recursive {_D8}, f as (select d8.r, d8.k, d8.l, d8.z, d8.code,
 w as (select r, k, 0::bigint rank, 0.0::double len, r tr, k tk, z tz, 0.0::double cm, 0.0::double cs from f where coalesce(code, 0) = 0
   union all select f.r, f.k, w.rank + 1, w.len + f.dist, tr, tk, tz, greatest(cm, greatest(f.z - tz, 0)), cs + greatest(f.z - tz, 0) from f join w on f.nr = w.r and f.nk = w.k where coalesce(f.code, 0) > 0)"""
 _BASIN = "b as (select r, k, dense_rank() over (order by first) - 1 basin from (select r, k, min(r * 50 + k) over (partition by tr, tk) as first from w))"
+_WHOLE = _ROUTE.replace("value::double z", "floor(value / 8)::double z")
+_MET = "case st.code when 8 then 1 when 1 then 2 when 2 then 3 when 7 then 4 when 3 then 5 when 4 then 6 when 5 then 7 else 8 end"
 _POLY = "p as (select p_partkey::bigint id, p_size::bigint w, p_size::bigint % 7 + 1 h from part)"
 
 ORACLES: dict[str, str] = {
+    "basin_edges": f"""{_WHOLE}, {_BASIN}, x as (select w.*, basin, c.l from w join b using (r, k) join c using (r, k)),
+      e as (select a.basin source, n.basin target, a.cm cut_max, a.cs cut_sum, a.len + st.dist length, a.r::bigint orow, a.k::bigint ocol, n.r::bigint drow, n.k::bigint dcol,
+        row_number() over (partition by a.basin, n.basin order by a.cm, a.cs, a.len + st.dist, a.r, a.k, {_MET}) q from x a, st, x n where n.r = a.r + st.dr and n.k = a.k + st.dc and n.l = a.l and n.basin <> a.basin)
+      select source, target, cut_max, cut_sum, length, orow, ocol, drow, dcol from e where q = 1""",
+    "roi_segments": f"{_STEM} select n.id, t.id_down, n.sub::bigint sub, n.length::double unit_length, upstream_length::double upstream_length, t.area::double unit_area, upstream_area::double upstream_area, wc water_course from n join t using (id) join acc using (id) join w using (id)",
+    "roi_catchments": f"{_STEM} select n.id, t.id_down, n.sub::bigint sub, upstream_area::double upstream_area, wc water_course, t.area * 1e6::double square_metres from n join t using (id) join acc using (id) join w using (id)",
+    "overlap_check": "with p as (select p_partkey::bigint id, p_size::bigint w, p_size::bigint % 7 + 1 h from part) select a.id a, b.id b, (least(a.w - 20 * (b.id - a.id), b.w) * least(a.h, b.h))::double area from p a join p b on b.id between a.id + 1 and a.id + 2 where 20 * (b.id - a.id) < a.w",
+    "drainage_cells": "select p_partkey::bigint id, p_size::bigint cells, 100 * p_partkey::bigint first_col, 100 * p_partkey::bigint + p_size::bigint - 1 last_col from part",
+    "unmatched_layer_ids": f"with {NET_TREE} select id from t where (id % 5 <> 0) <> (id % 7 <> 0)",
+    "catchment_labels": "select p_partkey::bigint id, row_number() over (order by p_partkey::bigint::varchar) - 1 as label from part",
     "upstream_closure": f"{_TREE}, {_CLOSE.format(sub=1, ids=1)} select id from u",
     "upstream_closure_multi": f"{_sub_sql()} select id from s",
     "sub_assignment": f"{_sub_sql()} select id, sub::bigint sub from s",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,15 +42,50 @@ def dem(spark: SparkSession, sf_dir: str, flats: bool = False) -> DataFrame:
 DEM = "c as (select (event_id // 50)::int r, (event_id % 50)::int k, (event_id // 500)::int l, value::double z, event_id // 50 % 10 = 0 d from events)"
 
 
-def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, w, h, geometry: rectangles from p_size, side by side."""
+def _shapes(shape):
+    """A function of three columns, a batch at a time."""
+
+    @F.pandas_udf("binary")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([shape(*row) for row in zip(a, b, c, strict=True)], dtype=object)
+
+    return run
+
+
+def _rectangle(x: float, w: float, h: float) -> bytes:
     from rivergraph.functions import geom
 
-    @F.udf("binary")
-    def rectangle(i: int, w: int, h: int) -> bytes:
-        x = 100.0 * i
-        return geom.polygon([[(x, 0), (x + w, 0), (x + w, h), (x, h), (x, 0)]])
+    return geom.polygon([[(x, 0), (x + w, 0), (x + w, h), (x, h), (x, 0)]])
+
+
+def _line(x: float, to: float, y: float) -> bytes:
+    from rivergraph.functions import geom
+
+    return geom.line([(x, y), (to, y)])
+
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("w"))
-    part = part.withColumn("h", F.expr("w % 7 + 1"))
-    return part.select("id", "w", "h", rectangle("id", "w", "h").alias("geometry"))
+    return part.withColumn("h", F.expr("w % 7 + 1"))
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, w, h, geometry: rectangles from p_size, side by side."""
+    return _sizes(spark, sf_dir).select("id", "w", "h", _shapes(_rectangle)(F.col("id") * 100.0, F.col("w").cast("double"), F.col("h").cast("double")).alias("geometry"))
+
+
+def crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, geometry: the same rectangles, so close that wide ones overlap the next."""
+    return _sizes(spark, sf_dir).select("id", _shapes(_rectangle)(F.col("id") * 20.0, F.col("w").cast("double"), F.col("h").cast("double")).alias("geometry"))
+
+
+def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, geometry: a line through w cells of size 1 in a row."""
+    return _sizes(spark, sf_dir).select("id", _shapes(_line)(F.col("id") * 100 + 0.5, F.col("id") * 100 + F.col("w") - 0.5, F.lit(0.5)).alias("geometry"))
+
+
+def net_layers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Catchments and segments of the tree: rectangles of `area` square kilometres, lines of `length` kilometres."""
+    t = net_tree(spark, sf_dir)
+    catchments = t.select("id", _shapes(_rectangle)(F.lit(0.0), F.col("area") * 1000.0, F.lit(1000.0)).alias("geometry"))
+    return catchments, t.select("id", "id_down", F.lit(1).alias("strahler_order"), _shapes(_line)(F.lit(0.0), F.col("length") * 1000.0, F.lit(0.0)).alias("geometry"))

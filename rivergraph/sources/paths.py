@@ -22,6 +22,12 @@ class MiniPaths(NamedTuple):
     mapping: Path
 
 
+class TerrainPaths(NamedTuple):
+    hand: Path
+    ltnd: Path
+    flow_direction: Path | None
+
+
 def _suffix(output_format: str) -> str:
     if output_format.lower() not in FORMATS:
         raise UnsupportedOutputFormatError(f"unsupported format {output_format!r}; known: {', '.join(FORMATS)}")
@@ -36,3 +42,8 @@ def roi_paths(folder: str, output_format: str) -> RoiPaths:
 def mini_paths(folder: str, output_format: str) -> MiniPaths:
     s = _suffix(output_format)
     return MiniPaths(*(Path(folder) / (n + s) for n in ("mini_catchments", "mini_segments", "bho2mini")))
+
+
+def terrain_paths(folder: str, flow_direction: bool) -> TerrainPaths:
+    names = Path(folder)
+    return TerrainPaths(names / "hand.tif", names / "ltnd.tif", names / "flow_direction.tif" if flow_direction else None)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from rivergraph.errors import InvalidInputSchemaError, UnsupportedOutputFormatError
 
+from . import flatgeobuf, shapefile
 from .paths import FORMATS
 
 #: Primary keys that one task reads.
@@ -131,12 +132,12 @@ def write_gpkg(layer: Layer, path: str) -> None:
 
 
 def read_vector(spark: SparkSession, path: str) -> Layer:
-    """A layer by its suffix: .gpkg, else Parquet."""
+    """A layer by its suffix: .gpkg, .fgb, .shp, else Parquet."""
     path = str(path)
     if path.endswith(".gpkg"):
         return read_gpkg(spark, path)
     if path.endswith((".fgb", ".shp")):
-        raise UnsupportedOutputFormatError(f"{path}: this format is not built yet; give .gpkg or .parquet")
+        return Layer(*(flatgeobuf.read_fgb if path.endswith(".fgb") else shapefile.read_shp)(spark, path))
     rows = spark.read.parquet(path)
     if "geometry" not in rows.columns:
         raise InvalidInputSchemaError(f"{path}: no column geometry")
@@ -147,10 +148,10 @@ def write_vector(layer: Layer, path: str, *, output_format: str) -> None:
     kind = output_format.lower()
     if kind not in FORMATS:
         raise UnsupportedOutputFormatError(f"unsupported format {output_format!r}; known: {', '.join(FORMATS)}")
-    if kind not in ("gpkg", "parquet"):
-        raise UnsupportedOutputFormatError(f"format {kind!r} is not built yet; give gpkg or parquet")
     if kind == "parquet":
         rows = layer.rows.withColumn("geometry", F.col("geometry").alias("geometry", metadata={"crs": layer.crs} if layer.crs else {}))
         return rows.write.mode("overwrite").parquet(str(path))
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    write_gpkg(layer, str(path))
+    if kind == "gpkg":
+        return write_gpkg(layer, str(path))
+    return (flatgeobuf.write_fgb if kind == "fgb" else shapefile.write_shp)(layer.rows, layer.crs, str(path))

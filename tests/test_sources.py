@@ -1,13 +1,15 @@
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivergraph import cli
 from rivergraph.errors import InvalidInputSchemaError, UnsupportedOutputFormatError
 from rivergraph.functions import geom
 from rivergraph.operators.roi import LAYER
-from rivergraph.sources import vector
+from rivergraph.sources import flatgeobuf, shapefile, vector
 from rivergraph.sources.vector import Layer, read_vector, write_vector
 
 
@@ -24,10 +26,11 @@ def plain(rows):
     return sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows.collect())
 
 
-@pytest.mark.parametrize("kind", ["gpkg", "parquet"])
+@pytest.mark.parametrize("kind", ["gpkg", "parquet", "fgb", "shp"])
 def test_round_trip(spark, tmp_path, kind, monkeypatch):
-    monkeypatch.setattr(vector, "ROWS_A_TASK", 4)  # 6 rows in two tasks
-    rows = spark.createDataFrame([(i, None if i == 2 else f"n'{i}", i / 3, i % 2 == 0, None if i == 3 else geom.line([(0.0, 0.0), (i, 1.0)])) for i in range(6)], "id long, name string, x double, even boolean, geometry binary")
+    for module in (vector, shapefile):
+        monkeypatch.setattr(module, "ROWS_A_TASK", 4)  # 6 rows in two tasks
+    rows = spark.createDataFrame([(i, None if i == 2 else f"n'{i}", i / 8, i % 2 == 0, None if i == 3 else geom.line([(0.0, 0.0), (i, 1.0)])) for i in range(6)], "id long, name string, x double, even boolean, geometry binary")
     path = str(tmp_path / f"layer.{kind}")
     write_vector(Layer(rows, "EPSG:3857"), path, output_format=kind.upper())
     back = read_vector(spark, path)
@@ -55,24 +58,60 @@ def test_geopackage_of_another_writer(spark, tmp_path):
             read_vector(spark, str(tmp_path / bad))
 
 
+@pytest.mark.parametrize("kind", ["fgb", "shp"])
+def test_shapes_of_all_kinds(spark, tmp_path, kind):
+    box = lambda x, w: [(x, 0.0), (x, w), (x + w, w), (x + w, 0.0), (x, 0.0)]
+    of = {
+        "polygon": (geom.POLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]]]), "polygons": (geom.MULTIPOLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]], [np.array(box(20, 4))]]),
+        "lines": (geom.MULTILINE, [np.array([(0.0, 0.0), (1.0, 1.0)]), np.array([(5.0, 0.0), (6.0, 1.0), (7.0, 7.0)])]), "point": (geom.POINT, [np.array([3.0, 4.0])]), "points": (geom.MULTIPOINT, [np.array([3.0, 4.0]), np.array([5.0, 6.0])]),
+    }
+    for name, shape in of.items():
+        path = str(tmp_path / f"{name}.{kind}")
+        write_vector(Layer(spark.createDataFrame([(1, geom.build(*shape))], "id int, geometry binary"), "EPSG:31983"), path, output_format=kind)
+        back = read_vector(spark, path)
+        row = back.rows.first()
+        assert back.crs == "EPSG:31983" and row["id"] == 1
+        got, want = geom.parse(row["geometry"]), shape
+        assert got[0] == want[0] and len(got[1]) == len(want[1]) and geom._area(row["geometry"]) == geom._area(geom.build(*want)) and geom._length(row["geometry"]) == geom._length(geom.build(*want)) and geom._bounds(row["geometry"]) == geom._bounds(geom.build(*want))
+
+
+def test_long_names_and_bad_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 2**53 + 1, 0.1, geom.line([(0, 0), (1, 1)]))], "strahler_order int, strahler_other int, big long, x double, geometry binary")
+    write_vector(Layer(rows, None), str(tmp_path / "a.shp"), output_format="shp")
+    back = read_vector(spark, str(tmp_path / "a.shp")).rows
+    assert back.columns == ["strahler_o", "strahler_1", "big", "x", "geometry"] and tuple(back.first())[:4] == (1, 2, 2**53 + 1, 0.1)
+    for bad in ("b.fgb", "b.shp"):
+        (tmp_path / bad).write_text("nothing of the kind, though long enough")
+        with pytest.raises(InvalidInputSchemaError):
+            read_vector(spark, str(tmp_path / bad))
+    with pytest.raises(InvalidInputSchemaError):
+        write_vector(Layer(rows.union(rows.withColumn("geometry", F.lit(geom.build(geom.POINT, [np.zeros(2)])))), None), str(tmp_path / "c.shp"), output_format="shp")
+
+
+def test_a_table_of_flatbuffers():
+    nested = {0: "name", 1: ("B", 7), 2: [{0: ("i", k)} for k in range(5)], 3: np.arange(4.0), 5: {1: ("Q", 2**40)}, 6: None}
+    t = flatgeobuf.Table(flatgeobuf.packed(nested))
+    assert t.text(0) == "name" and t.scalar(1, "B", 0) == 7 and [x.scalar(0, "i", -1) for x in t.tables(2)] == list(range(5)) and t.vector(3, "f8").tolist() == [0, 1, 2, 3]
+    assert t.table(5).scalar(1, "Q", 0) == 2**40 and t.vector(6, "u1") is None and t.scalar(99, "B", 5) == 5
+
+
 def test_formats(spark, tmp_path):
     cat, _ = network(spark)
-    for bad in ("xyz", "shp", "fgb"):
-        with pytest.raises(UnsupportedOutputFormatError):
-            write_vector(Layer(cat, None), str(tmp_path / "x"), output_format=bad)
+    with pytest.raises(UnsupportedOutputFormatError):
+        write_vector(Layer(cat, None), str(tmp_path / "x"), output_format="xyz")
 
 
 def test_commands(spark, tmp_path, capsys):
     cat, seg = network(spark)
     write_vector(Layer(cat, "EPSG:3857"), str(tmp_path / "c.gpkg"), output_format="gpkg")
     write_vector(Layer(seg, "EPSG:3857"), str(tmp_path / "s.gpkg"), output_format="gpkg")
-    base = ["define-roi", "--catchments", str(tmp_path / "c.gpkg"), "--segments", str(tmp_path / "s.gpkg"), "--destine-crs", "EPSG:3857", "--output-dir", str(tmp_path / "roi")]
+    base = ["define-roi", "--catchments", str(tmp_path / "c.gpkg"), "--segments", str(tmp_path / "s.gpkg"), "--destine-crs", "EPSG:3857", "--output-dir", str(tmp_path / "roi"), "--output-format", "gpkg"]
     assert cli.main([*base, "--outlet-id", "1"], spark) == 0
     roi = {n: read_vector(spark, str(tmp_path / "roi" / f"roi_{n}.gpkg")) for n in ("catchments", "segments")}
     for layer in roi.values():
         assert tuple(layer.rows.columns) == LAYER and layer.crs == "EPSG:3857"
         assert {r["id"]: r["upstream_length"] for r in layer.rows.collect()} == {1: 15.0, 2: 5.0, 3: 3.0, 4: 9.0, 5: 5.0}
-    mini = ["aggregate", "--roi-catchments", str(tmp_path / "roi/roi_catchments.gpkg"), "--roi-segments", str(tmp_path / "roi/roi_segments.gpkg"), "--output-dir", str(tmp_path / "mini"), "--lmin", "0", "--uparea-min"]
+    mini = ["aggregate", "--roi-catchments", str(tmp_path / "roi/roi_catchments.gpkg"), "--roi-segments", str(tmp_path / "roi/roi_segments.gpkg"), "--output-dir", str(tmp_path / "mini"), "--output-format", "gpkg", "--lmin", "0", "--uparea-min"]
     assert cli.main([*mini, "0"], spark) == 0
     mapping = read_vector(spark, str(tmp_path / "mini" / "bho2mini.gpkg")).rows
     assert mapping.columns == ["id", "mini_id", "sub", "geometry"] and {r["id"] for r in mapping.collect()} == {1, 2, 3, 4, 5}
