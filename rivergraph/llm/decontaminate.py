@@ -10,7 +10,7 @@ shuffles both sides by n-gram. The bitmap stays at 64 bits a gram up to 2**26 bi
 
 Defined cases: null and empty texts have no words and no hits, and are never contaminated; an item of no words has no
 window; rows that repeat a doc_id give a row each; a null item_id is never listed, but its windows hit; further columns
-are ignored; an empty benchmark hits nothing.
+are ignored, and decontaminate keeps them; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, table, text_key
+from .common import LOWER, UPPER, stored, table, text_key
 
 N = 13
 #: Characters that part words: those below \x80 that are neither digits nor letters, and capitals to be made small.
@@ -96,24 +96,40 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without contaminated rows (hits cover a twentieth of the words or more); from other rows with hits, the words
-    that are hit go, each with the separators before it. Columns as in docs; n_chars follows the text if it is there."""
-    found = find_contamination(docs, benchmark, n=n, id_col=id_col, text_col=text_col).where("n_hit > 0").withColumn("bad", contaminated())
-    found = found.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_key"), F.col("bad").alias("_bad"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
-    at = text_key(text_col) == F.col("_key")
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & at, "left").where(~F.coalesce(F.col("_bad"), F.lit(False)))
+def _with(value: Column, use) -> Column:
+    """use(value), where value is evaluated once however often use names it: an element of a one-element array."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_spans(text: Column, spans: Column) -> Column:
+    """text without the words in spans ([from, to) of word numbers, from 0), each with the separators before it."""
     token = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[A-Za-z0-9\u0080-\x{10FFFF}]+(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$)?"
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(token), F.lit(0))
-    hit = F.flatten(F.transform("_spans", lambda s: F.sequence(s["from"], s["to"] - 1)))
-    # positions are 0-based; what is left keeps every separator that stood before a kept word
-    numbered = F.transform(F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), hit), lambda i: F.get(pieces, i))
-    kept = F.when(F.size(pieces) > 0, numbered).otherwise(F.array().cast("array<string>"))
-    text = F.when(F.col("_spans").isNotNull(), F.array_join(kept, "")).otherwise(F.col(text_col))
-    out = {text_col: text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length(F.array_join(kept, "")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.withColumns(out).select(*docs.columns)
+    hit = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"] - 1)))
+    kept = lambda pieces: F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), hit)
+    # the pieces are bound to a name: inside the inner lambda the expression itself would run once a word
+    return _with(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda pieces: F.when(F.size(pieces) > 0, F.array_join(F.transform(kept(pieces), lambda i: F.get(pieces, i)), "")).otherwise(F.lit("")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without contaminated rows (hits cover a twentieth of the words or more); from other rows with hits, the words
+    that are hit go, each with the separators before it. Columns as in docs, whatever their names; n_chars follows the text
+    if it is there. What was found is broadcast while it measures at most broadcast_bytes, else joined by shuffle."""
+    found = find_contamination(docs, benchmark, n=n, id_col=id_col, text_col=text_col).where("n_hit > 0")
+    # a contaminated row needs no spans
+    found = stored(found.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), contaminated().alias("bad"), F.when(~contaminated(), F.col("spans")).alias("spans")).dropDuplicates(["id", "key"]))
+    size = found.agg(F.sum(64 + 16 * F.greatest(F.size("spans"), F.lit(0)))).first()[0] or 0
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), text_key(F.col(text_col).cast("string")).alias("row_key"))
+    joined = rows.join(F.broadcast(found) if size <= broadcast_bytes else found, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left").where(~F.coalesce("bad", F.lit(False)))
+    text = F.col("row").getField(text_col)
+    cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), without_spans(text, F.col("spans"))).otherwise(text))
+
+    def column(f) -> Column:
+        if f.name == text_col:
+            return F.col("cut").alias(f.name)
+        old = F.col("row").getField(f.name)
+        return (F.when(F.col("spans").isNotNull(), F.char_length("cut").cast(f.dataType)).otherwise(old) if f.name == "n_chars" else old).alias(f.name)
+
+    return cut.select(*map(column, docs.schema))
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
