@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rivergraph.functions.scratch import clear_scratch, shared_dir, stored
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "clear_scratch", "keyed", "shared_dir", "stored", "table", "text_key"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "clear_scratch", "keyed", "shared_dir", "small_batches", "stored", "table", "text_key"]
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -23,6 +23,15 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark, most: int = 8 << 20) -> None:
+    """From now on a batch that goes to Python holds about `most` bytes, however long its texts are. The setting of the
+    session is only ever lowered."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > most:
+        spark.conf.set(name, str(most))
+
+
 def text_key(text: Column | str) -> Column:
     """64-bit hash of the text; a null text hashes as an empty one. Tells apart rows that share a doc_id."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

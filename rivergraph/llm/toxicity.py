@@ -1,20 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Each word becomes a symbol: insult, threat, target, negation, report, clause end or plain word. Three transducers, for
-the scope of a negation, for reported speech and for targets, rewrite insults and threats inside a clause; their
-composition is one table that reads a text once. What a text scores is the sum of its matched clauses by kind, under a
-logistic model.
+Each word becomes a symbol: insult, threat, target, negation, report, clause end or plain word. Four transducers read the
+symbols of a clause. Negation and reported speech rewrite the insults and threats in their scope. The insult transducer
+marks the clause's end: aimed (an insult and a target, in either order), bare (an insult alone), or off (only negated or
+reported ones). The threat transducer marks it if a threat and a target are in the clause; a threat alone is a plain word.
+Their composition is one table that reads a text once. What a text scores is the sum over its matched clauses by mark, a
+clause weighing as much as its insults together, under a logistic model; words count only through their clause.
 
 Insults are learned: words and word beginnings that stand in toxic documents far more often than in others, counted over
 a sample of labelled rows and then, for the candidates, over distinct neighbouring words, so that copies of one document
 don't vote twice. The sample is the `SAMPLE` labelled rows of smallest hash; that bound is a parameter, and every document
-is scored. The lexicon holds at most `LEXICON` entries. Threats, targets, negations and reports are word lists below.
+is scored. A term is in the lexicon if it is significant, whatever their number. Threats, targets, negations and reports
+are word lists below.
 
 Only the text is scored: labels serve for fitting, and of them only rows whose crc32(doc_id as text) mod 3 is not 1.
 
 Defined cases: null and empty texts get the score of a text without matches; rows that repeat a doc_id give a row each
 (their labels: the highest counts); without labels of both kinds nothing is learned and every score is 0; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored, and drop_toxic keeps them.
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 
-SAMPLE, LEXICON = 12_000, 2_000
+SAMPLE = 12_000
 THRESHOLD = 0.7
 PREFIXES = (3, 4, 5, 6, 7, 8)
 
@@ -43,10 +46,13 @@ NEGATIONS = frozenset("not no never neither nor without isn aren don doesn didn
 REPORTS = frozenset("said says say saying told claimed claims wrote writes quoted quote called according dit disait écrit selon sagte sagt schrieb laut dijo dice según escribió".split())
 
 WORD, END, NEG, REPORT, TARGET, THREAT, INSULT = range(7)
-INSULT_NEG, THREAT_NEG, INSULT_REP, THREAT_REP, INSULT_AT, THREAT_AT = range(7, 13)
-SYMBOLS = 13
+INSULT_OFF, THREAT_OFF = 7, 8
+#: Marks of a clause's end: what its insults are, and, from BARE + 4 on, the same with a threat. END itself is without both.
+OFF, BARE, AIMED, MENACE = 9, 10, 11, 12
+SYMBOLS = 16
 NEG_SCOPE = 3
 _TOKEN = re.compile(r"\w+|[.!?;:\n\"«»“”]")
+_ENDS = (END, OFF, BARE, AIMED)
 
 
 class Transducer(NamedTuple):
@@ -70,42 +76,53 @@ def _machine(states: int, move) -> Transducer:
     return Transducer(tuple(tuple(move(q, s) for s in range(SYMBOLS)) for q in range(states)))
 
 
+_TURN = {INSULT: INSULT_OFF, THREAT: THREAT_OFF}
+
+
 def negation(scope: int = NEG_SCOPE) -> Transducer:
-    """Insults and threats within `scope` words after a negation, in its clause, are negated."""
+    """Insults and threats within `scope` words after a negation, in its clause, are off."""
 
     def move(left: int, s: int) -> tuple[int, int]:
-        if s == END:
-            return 0, s
-        if s == NEG:
-            return scope, s
-        out = {INSULT: INSULT_NEG, THREAT: THREAT_NEG}.get(s, s) if left else s
-        return max(0, left - 1), out
+        if s in (END, NEG):
+            return (scope if s == NEG else 0), s
+        return max(0, left - 1), _TURN.get(s, s) if left else s
 
     return _machine(scope + 1, move)
 
 
 def reported() -> Transducer:
     """After a verb of saying, what is left of the clause is someone else's."""
-    swap = {INSULT: INSULT_REP, THREAT: THREAT_REP}
-    return _machine(2, lambda q, s: (0, s) if s == END else (1, s) if s == REPORT else (q, swap.get(s, s) if q else s))
+    return _machine(2, lambda q, s: (0 if s == END else 1 if s == REPORT else q, _TURN.get(s, s) if q else s))
 
 
-def aimed() -> Transducer:
-    """Insults and threats after a target in their clause are aimed; a threat without a target is a plain word."""
+def insulting() -> Transducer:
+    """Marks ends of clauses with insults. State: whether a target was seen, and 0, 1 (insults that are off) or 2 (others)."""
 
     def move(q: int, s: int) -> tuple[int, int]:
+        target, found = q % 2, q // 2
         if s == END:
-            return 0, s
-        if s == TARGET:
-            return 1, s
-        return q, {INSULT: INSULT_AT, THREAT: THREAT_AT}.get(s, s) if q else WORD if s == THREAT else s
+            return 0, (END, OFF, AIMED if target else BARE)[found]
+        target, found = target or int(s == TARGET), max(found, {INSULT: 2, INSULT_OFF: 1}.get(s, 0))
+        return target + 2 * found, s
+
+    return _machine(6, move)
+
+
+def threatening() -> Transducer:
+    """Adds to the mark of a clause that it holds a threat and a target. State: whether each was seen."""
 
-    return _machine(2, move)
+    def move(q: int, s: int) -> tuple[int, int]:
+        if s in _ENDS:
+            return 0, MENACE + _ENDS.index(s) if q == 3 else s
+        return q | int(s == TARGET) | 2 * int(s == THREAT), s
+
+    return _machine(4, move)
 
 
-GRAMMAR = negation().then(reported()).then(aimed())
+MACHINES = (negation(), reported(), insulting(), threatening())
+GRAMMAR = MACHINES[0].then(MACHINES[1]).then(MACHINES[2]).then(MACHINES[3])
 
-FEATURES = ("insult", "aimed", "negated", "reported", "threat", "distinct", "clauses", "per_word")
+FEATURES = ("insulting", "aimed", "off", "menacing", "distinct", "clauses", "per_word")
 
 
 def classify(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
@@ -124,7 +141,7 @@ def classify(word: str, lexicon: dict[str, float]) -> tuple[int, float]:
 class _Classes(dict):
     """token -> (symbol, weight), filled as tokens come; bounded."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 100_000):
         self.lexicon, self.most = lexicon, most
 
     def __missing__(self, token: str) -> tuple[int, float]:
@@ -134,26 +151,35 @@ class _Classes(dict):
         return found
 
 
-def features(text: str, classes: _Classes) -> list[float]:
+def clauses(text: str, classes: _Classes) -> tuple[list[tuple[int, float]], int, int]:
+    """(mark, weight) of each matched clause, how many tokens there are, and how many different insults in matched ones. A
+    clause weighs as much as its insults, 1 if it holds none."""
     tokens = _TOKEN.findall(text.lower())
     found = [classes[t] for t in tokens]
     if not any(s >= THREAT for s, _ in found):
+        return [], 0, 0
+    out: list[tuple[int, float]] = []
+    step, state, total, here, seen = GRAMMAR.step, 0, 0.0, set(), set()
+    for token, (symbol, weight) in zip([*tokens, "."], [*found, (END, 0.0)], strict=True):
+        state, mark = step[state][symbol]
+        if weight:
+            total += weight
+            here.add(token)
+        elif symbol == END:
+            if mark != END:
+                out.append((mark, total or 1.0))
+                seen |= here
+            total, here = 0.0, set()
+    return out, len(tokens), len(seen)
+
+
+def features(text: str, classes: _Classes) -> list[float]:
+    found, count, distinct = clauses(text, classes)
+    if not found:
         return [0.0] * len(FEATURES)
-    sums = [0.0] * SYMBOLS
-    state, clauses, matched, seen = 0, 0, False, set()
-    step = GRAMMAR.step
-    for token, (symbol, weight) in zip(tokens, found, strict=True):
-        state, out = step[state][symbol]
-        if out >= THREAT:
-            sums[out] += weight or 1.0
-            seen.add(token)
-            matched = matched or out in (INSULT, INSULT_AT, THREAT_AT)
-        elif out == END:
-            clauses += matched
-            matched = False
-    clauses += matched
-    strong = sums[INSULT] + sums[INSULT_AT]
-    values = (strong, sums[INSULT_AT], sums[INSULT_NEG] + sums[THREAT_NEG], sums[INSULT_REP] + sums[THREAT_REP], sums[THREAT_AT], len(seen), clauses, 100 * strong / len(tokens))
+    of = lambda *marks: sum(w for m, w in found if m in marks)
+    strong = of(BARE, AIMED, MENACE + 2, MENACE + 3)
+    values = (strong, of(AIMED, MENACE + 3), of(OFF, MENACE + 1), of(MENACE, MENACE + 1, MENACE + 2, MENACE + 3), distinct, len(found), 100 * strong / count)
     return [math.log1p(x) for x in values]
 
 
@@ -172,7 +198,7 @@ def _terms(token: str) -> list[str]:
     return [token + "$", *(token[:k] for k in PREFIXES if len(token) > k)]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """term, pos, neg: documents by label, added up as far as `most` terms."""
     counts: dict[str, list[int]] = {}
 
@@ -192,14 +218,18 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator
 
 def _contexts(terms: set[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("term", pa.string()), ("context", pa.string()), ("label", pa.int32())])
+        rows: set[tuple] = set()
         for b in batches:
-            rows = set()
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 tokens = _TOKEN.findall(text.lower())
                 for before, w in zip(["", *tokens], tokens, strict=False):
                     rows.update((t, f"{before} {w}", label) for t in _terms(w) if t in terms)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("term", pa.string()), ("context", pa.string()), ("label", pa.int32())]))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                    rows = set()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     return run
 
@@ -208,14 +238,14 @@ def _ratio(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
     return (pos / F.lit(float(n_pos))) / ((neg + 0.5) / F.lit(float(n_neg)))
 
 
-def learn_lexicon(sample: DataFrame, n_pos: int, n_neg: int, *, size: int = LEXICON) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     """Terms with their weights from sample (text, label)."""
     share = n_pos / (n_pos + n_neg)
     counts = sample.mapInArrow(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     expected = (F.col("pos") + F.col("neg")) * F.lit(share)
     unlikely = (F.col("pos") - expected) / F.sqrt(expected * F.lit(1 - share))
     good = counts.where((F.col("pos") >= max(4, n_pos // 200)) & (_ratio(F.col("pos"), F.col("neg"), n_pos, n_neg) >= 4) & (unlikely >= 5))
-    top = {r["term"] for r in good.orderBy(unlikely.desc(), "term").limit(size).collect()}
+    top = {r["term"] for r in good.select("term").collect()}
     if not top:
         return {}
     seen = sample.mapInArrow(_contexts(top), "term string, context string, label int").groupBy("term", "context").agg(F.max("label").alias("label"))
@@ -259,6 +289,7 @@ def _featured(lexicon: dict[str, float]):
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE) -> Model:
     """Learn from at most sample_rows labelled rows that are not held out; only counts, the lexicon and a few numbers a
     sampled row reach the driver."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     ids = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
@@ -273,7 +304,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score, matches (the features' sums, as logarithms)."""
+    """One row per row of docs: doc_id, score, matches (the features)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(model.lexicon)
@@ -287,6 +319,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without rows that score the threshold or more; columns and other rows as they are."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(model.lexicon)
