@@ -3,50 +3,51 @@
 A document's words (lower-cased runs of letters and digits) give k-mers of five words, each labelled with how often it
 occurred before, so repeats count. A sketch takes the `ELL` smallest k-mers under a hash of its own and keeps them in the
 order of the text: documents agree on it with a probability near the square of their k-mer similarity, less if reordered.
-`SKETCHES` sketches make bands of `ROWS`; documents that share a band are candidates, and those that agree on `AGREE`
-sketches are verified. At a k-mer similarity of 0.8 (about 31 agree) a pair fails either with a probability near 2e-5.
+`SKETCHES` sketches make bands of `ROWS`; documents that share a band are candidates. Texts in the same order at a k-mer
+similarity of 0.8 share none of the 16 bands with a probability near 2e-4.
 
-1. Texts with equal words are one class from the start; only one representative of them goes on.
-2. In a band's bucket the document that shares most buckets leads, and the others are compared with it alone. Members that
-   are not near it themselves choose leaders among themselves in the next round, eight times as many each time, until no
-   bucket holds two classes unmet. So a bucket of near copies costs its size, not its square, and nothing is capped.
+1. Texts with equal words are one node from the start; only one of them goes on.
+2. In a band's bucket the node that shares most buckets leads. Every other one is compared with its leader alone, so a
+   bucket costs its size. All buckets of one leader are its star; two nodes that share a bucket share a star.
 3. A pair is near if the k-mers (with their labels) have a Jaccard similarity of at least 0.8, and an alignment of the
    words within the band that this allows matches at least 0.8 of the longer text.
-4. Members near a leader are then compared with its fringe. Distances (1 - Jaccard) obey the triangle inequality: what is
-   near a member that is itself near the leader has a similarity of at least 0.6 to the leader. Such documents agree on
-   about 17 sketches with it; those that agree on `FRINGE` and are still in another class meet the leader's members.
-5. From the second round on, texts meet only where an exact bound allows it. A k-mer that no other text still in play has
-   cannot be shared, so a text's overlap with any other is at most the number of its remaining k-mers, and a similarity of
-   0.8 needs an overlap of 4/9 of both sizes. A text with many k-mers of its own can only be near shorter texts, in the end
-   none, and leaves. So in a group of texts at similarities from 0.4 to 0.8 most never meet.
-6. Classes are the connected components of near pairs, by propagation of the smallest id; every step is a join.
-
-Defined cases: null texts, empty ones and others without words are in a class of their own
-each; texts of fewer than five words are one k-mer; rows that repeat a doc_id give a row each, and are one document
-(their class is that of the smallest of their texts' classes); null doc_ids get no class; an empty table gives an empty
-result; further columns are ignored.
+4. Nodes near their leader are one class. What is left is a node that is not near its leader and may still be near another
+   of the star. Whether it may follows from what the comparison with the leader told, without the texts: with u k-mers that
+   no other node of the star has, and the set A of the leader's k-mers that it has, two nodes differ in at least
+   u + u' + |A xor A'| k-mers, while J >= 0.8 allows a ninth of both sizes. The sets A are bitmaps; nodes meet by steps of
+   |A|, and what passes is held against the whole difference (the sets A, and the k-mers that the leader lacks). Only pairs
+   of a similarity of 0.8 become rows, to be aligned as in 3. No pair that is near is lost, and nothing is capped.
+5. Classes are the connected components of near pairs: classes hook to their least neighbour and pointers double, so a
+   chain of n links takes a logarithm of rounds; every step is a join.
+
+The comparisons inside step 4 (not its rows) still grow with the nodes that a leader parts times those near in |A|.
+
+Defined cases: null texts, empty ones and others without words are in a class of their own each; texts of fewer than five
+words are one k-mer; rows that repeat a doc_id give a row each, with the class of their own text; null doc_ids get no
+class; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, stored, table
+from .common import keyed, small_batches, stored, table, text_key
 
-K, SKETCHES, ROWS, ELL, LEAST = 5, 48, 2, 2, 0.8
+K, SKETCHES, ROWS, ELL, LEAST = 5, 32, 2, 2, 0.8
 BANDS = SKETCHES // ROWS
-#: Sketches that a pair must agree on to be verified, and a document with a leader to be of its fringe.
-AGREE, FRINGE = 17, 6
-#: How many times as many leaders each round has as the one before; parts of a leader's fringe.
-GROWTH, SALTS = 8, 16
+#: Two sets with a Jaccard similarity of LEAST differ in at most this share of the sum of their sizes.
+APART = (1 - LEAST) / (1 + LEAST)
+#: Nodes of a star meet by steps of this share of the leader's k-mers.
+STEPS = 8
+#: The keys of texts to be read again are broadcast up to so many (about 32 bytes each); beyond that the join is by shuffle.
+BROADCAST_KEYS = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,7 +65,7 @@ SUMMANDS = _mix(np.arange(101, SKETCHES + 101, dtype=np.uint64) * _P)
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -124,41 +125,65 @@ def sketch(kmers: np.ndarray, chunk: int = 4096) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _Words()
     for b in batches:
-        k1, k2, sketches, sizes = [], [], [], []
+        k1, k2, sketches = [], [], []
         for text in b.column("text").to_pylist():
             h = word_hashes(text, words)
             raw = h.tobytes()
             k1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if raw else None)
             k2.append(xxhash.xxh64_intdigest(raw) - (1 << 63) if raw else None)
-            kmers = labelled_kmers(h)
-            sizes.append(len(kmers))
-            sketches.append(sketch(kmers) if raw else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["doc_id", "tkey", "k1", "k2", "sk", "size"])
+            sketches.append(sketch(labelled_kmers(h)) if raw else None)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "tkey", "k1", "k2", "sk"])
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts' labelled k-mers, each sorted (b's order is used)."""
-    at = np.searchsorted(b, a)
-    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    """Jaccard similarity of two texts' labelled k-mers, each sorted."""
+    both = int(_held(a, b).sum())
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
-def banded_edits(a: list[int], b: list[int], most: int) -> int | None:
-    """Insertions and deletions that turn a into b, if at most `most`: the furthest cell on each diagonal of the band, one
-    edit after another."""
-    n, m = len(a), len(b)
-    far = {1: 0}
-    for d in range(most + 1):
-        for k in range(-d, d + 1, 2):
-            x = far.get(k + 1, -1) if k == -d or (k != d and far.get(k - 1, -1) < far.get(k + 1, -1)) else far.get(k - 1, -1) + 1
-            y = x - k
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            far[k] = x
-            if x >= n and y >= m:
-                return d
-    return None
+def _held(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of a's elements b has; both sorted."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a if len(b) else np.zeros(len(a), bool)
+
+
+class _Masks(dict):
+    """word -> bits at its positions in `words`; holds up to `most` bytes of them."""
+
+    def __init__(self, words: np.ndarray, most: int = 32 << 20):
+        order = np.argsort(words, kind="stable")
+        self.order, self.sorted, self.size = order, words[order], len(words)
+        self.room = most
+
+    def __missing__(self, word: int) -> int:
+        lo, hi = np.searchsorted(self.sorted, np.uint64(word), "left"), np.searchsorted(self.sorted, np.uint64(word), "right")
+        if lo == hi:
+            return 0
+        bits = np.zeros(self.size, np.uint8)
+        bits[self.order[lo:hi]] = 1
+        mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        cost = self.size // 8 + 64
+        if cost <= self.room:
+            self.room -= cost
+            self[word] = mask
+        return mask
+
+
+def banded_matches(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """The most words that an alignment matches whose pairs (i, j) lie within about `band` diagonals; never less than with
+    |i - j| <= band. A row of the table is one integer, a bit for each word of b, so a row costs its band / 64 steps."""
+    m, step = len(b), max(64, band // 2)
+    row = (1 << m) - 1  # a zero where the count of matches rises
+    for i in range(0, len(a), step):
+        lo, hi = max(0, i - band), min(m, i + step + band)
+        if lo >= hi:
+            continue
+        width = (1 << (hi - lo)) - 1
+        masks, now = _Masks(b[lo:hi]), row >> lo & width
+        for word in a[i : i + step].tolist():
+            hit = now & masks[word]
+            now = (now + hit | now - hit) & width
+        row = row & ~(width << lo) | now << lo
+    return m - row.bit_count()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -174,15 +199,18 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     apart = np.flatnonzero(a[::-1][:n] != b[::-1][:n])
     tail = int(apart[0]) if len(apart) else n
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    # matched words = (sum of lengths - edits) / 2
-    most = int(len(a) + len(b) + 2 * (head + tail) - 2 * least * longer)
-    return most >= 0 and banded_edits(a.tolist(), b.tolist(), most) is not None
+    need = least * longer - head - tail - 1e-9
+    if need <= 0:
+        return True
+    # insertions and deletions that still leave enough matches, hence the furthest diagonal of such an alignment
+    band = int(len(a) + len(b) - 2 * need)
+    return band >= 0 and banded_matches(a, b, band) >= need
 
 
 class _Read(dict):
-    """Word hashes and sorted k-mers by text, of the last texts of at most `most` words; a text comes with all its pairs."""
+    """Word hashes and sorted k-mers by text, of the last texts of at most `most` words."""
 
-    def __init__(self, words: _Words, most: int = 1_000_000):
+    def __init__(self, words: _Words, most: int = 500_000):
         self.words, self.most, self.held = words, most, 0
 
     def __missing__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -201,164 +229,173 @@ def near(a: str, b: str, read: _Read, least: float = LEAST) -> bool:
     return min(len(p), len(q)) >= least * max(len(p), len(q)) and kmer_similarity(p, q) >= least and aligned(x, y, least)
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    read = _Read(_Words())
-    for b in batches:
-        good = [near(x, y, read) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
-        yield b.select(["a", "b"]).rename_columns(["_a", "_b"]).filter(pa.array(good, pa.bool_()))
-
-
-def components(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """id, class (the smallest id it is connected with). start: id, class of every node, as far as known."""
-    labels = start
-    both = stored(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    while True:
-        told = both.join(labels.select(F.col("id").alias("y"), F.col("class").alias("c")), "y").groupBy("x").agg(F.min("c").alias("c"))
-        lower = labels.join(told, labels["id"] == told["x"], "left").select("id", "class", F.least("class", F.coalesce("c", "class")).alias("low"))
-        # whole classes follow the lowest label that any of their members met
-        moved = stored(lower.where("low < class").groupBy("class").agg(F.min("low").alias("low")))
-        if moved.isEmpty():
-            return labels
-        jump = moved.select(F.col("class").alias("old"), F.col("low").alias("new"))
-        labels = stored(labels.join(jump, labels["class"] == jump["old"], "left").select("id", F.coalesce("new", "class").alias("class")))
+_MET = "lead long, id long, near boolean, size long, lead_size long, shared long, held array<long>, other array<long>"
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest doc_id of its class)."""
-    base = keyed(docs, id_col, text_col)
-    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>, size long"))
-    with_words = rows.where("k1 is not null and doc_id is not null")
-    # the representative of equal texts: the smallest doc_id, and the text key that its text has
-    reps = stored(with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk"), F.first("size").alias("size")).select("k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "sk", "size"))
-    # rows of one doc_id with several texts are one node of the graph: ids name nodes
-    texts = base.withColumnsRenamed({"doc_id": "_d", "tkey": "_t"})
-    spread = reps.select(F.col("rep").alias("id"), F.posexplode(bands("sk")).alias("band", "h")).distinct()
-    # buckets of one document bring no pair and go before anything else is done
-    shared = spread.groupBy("band", "h").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select("band", "h")
-    buckets = stored(spread.join(shared, ["band", "h"]))
-    support = buckets.join(buckets.groupBy("band", "h").agg(F.count("*").alias("n")), ["band", "h"]).groupBy("id").agg(F.sum("n").alias("support"))
-    buckets = stored(buckets.join(support, "id"))
-    keys = reps.groupBy("rep").agg(F.min_by("sk", "rep_key").alias("sk"), F.min_by("size", "rep_key").alias("size"), F.min("rep_key").alias("rep_key")).join(buckets.select("id").distinct(), F.col("rep") == F.col("id"))
-    there = stored(texts.join(keys, (F.col("_d") == F.col("rep")) & (F.col("_t") == F.col("rep_key"))).select("id", "text", "sk", "size").dropDuplicates(["id"]))
-    labels = stored(reps.select(F.col("rep").alias("id"), F.col("rep").alias("class")).distinct())
-    tested = near_lead = fringe = limits = None
-    leads = 1
-    while not buckets.isEmpty():
-        part = F.pmod(F.xxhash64("id"), F.lit(leads))
-        lead = buckets.groupBy("band", "h", part.alias("part")).agg(F.min_by("id", F.struct(-F.col("support"), F.col("id"))).alias("lead"))
-        known = labels.select("id", "class")
-        led = stored(buckets.join(lead.drop("part"), ["band", "h"]).join(known, "id").join(known.select(F.col("id").alias("lead"), F.col("class").alias("lead_class")), "lead"))
-        pairs = led.where("class <> lead_class").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        pairs = pairs if limits is None else possible(pairs, limits)
-        pairs = stored(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        scored = stored(verify(pairs, there))
-        tested = scored if tested is None else tested.unionByName(scored)
-        if not scored.where("near").isEmpty():
-            labels = components(tested.where("near"), labels)
-        now = labels.select("id", "class")
-        scores = tested.select("a", "b", "g", "near")
-        met_by = led.select("id", "band", "h", "support", "lead", F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).join(scores, ["a", "b"], "left")
-        met_by = stored(met_by.select("id", "band", "h", "support", "lead", "g", F.coalesce("near", F.lit(False)).alias("near")))
-        held, apart = met_by.where("near").select("lead", "id"), met_by.where(f"not near and g >= {FRINGE}").select("lead", "id")
-        near_lead, fringe = (held, apart) if near_lead is None else (near_lead.union(held), fringe.union(apart))
-        # who led has met all others in the bucket, and who is near who led meets the rest through the fringe
-        ahead = met_by.groupBy("id", "band", "h", "support").agg(F.bool_or(F.col("near") | (F.col("id") == F.col("lead"))).alias("done")).where("not done").drop("done")
-        ahead = stored(ahead.join(now, "id"))
-        open_ = ahead.groupBy("band", "h").agg(F.min("class").alias("_lo"), F.max("class").alias("_hi")).where("_lo < _hi").select("band", "h")
-        if limits is None:
-            # all that may yet be compared: who shares a leader with an unmet document, or was led by one of them
-            leaders = met_by.join(ahead.select("band", "h").distinct(), ["band", "h"], "left_semi").select("lead").union(ahead.select("id")).distinct()
-            limits = stored(overlaps(there.join(met_by.join(leaders, "lead", "left_semi").select("id").distinct(), "id", "left_semi")))
-        buckets = stored(with_partners(ahead.join(open_, ["band", "h"]), limits).select("id", "band", "h", "support"))
-        leads *= GROWTH
-    if tested is not None:
-        pairs = stored(across(near_lead, fringe, labels, limits).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        late = stored(verify(pairs, there).where("near"))
-        if not late.isEmpty():
-            labels = components(tested.where("near").unionByName(late), labels)
-    named = reps.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("id")).select("k1", "k2", "class")
-    of_row = rows.select("doc_id", "k1", "k2").join(named.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
-    return of_row.select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-
-
-def bands(sk: str) -> Column:
-    """A 64-bit value for each band of ROWS sketches."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice(sk, i * ROWS + 1, ROWS)))
-
-
-def _kmer_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = _Words()
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (lead, id) with their texts: near; k-mers of id and of lead; how many they share; which of lead's (sorted)
+    k-mers id has, as a bitmap; id's others."""
+    read = _Read(_Words())
+    kinds = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("near", pa.bool_()), ("size", pa.int64()), ("lead_size", pa.int64()), ("shared", pa.int64()), ("held", pa.list_(pa.int64())), ("other", pa.list_(pa.int64()))])
+    rows: list[tuple] = []
+    weight = 0
     for b in batches:
-        for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            kmers = labelled_kmers(word_hashes(text, words)).view(np.int64)
-            for at in range(0, len(kmers), 100_000):
-                part = kmers[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), id_, np.int64)), pa.array(part)], names=["id", "kmer"])
-
-
-def overlaps(texts: DataFrame) -> DataFrame:
-    """id, size (k-mers), most (k-mers that another of these texts has too: no overlap is larger)."""
-    rows = texts.select("id", "text").mapInArrow(_kmer_rows, "id long, kmer long")
-    alone = rows.groupBy("kmer").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    return texts.select("id", "size").join(alone, "id", "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
-
-
-def _reach() -> Column:
-    """The largest size that a text near this one can have: J >= LEAST needs an overlap of LEAST / (1 + LEAST) of both sizes."""
-    return F.col("most") * ((1 + LEAST) / LEAST) - F.col("size") + 1e-6
-
-
-def _step(size: Column) -> Column:
-    """Sizes by steps of 2 %."""
-    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(1.02)).cast("int")
+        for lead, id_, text_l, text_x in zip(*(b.column(c).to_pylist() for c in ("lead", "id", "text_l", "text_x")), strict=True):
+            (x, p), (y, q) = read[text_l], read[text_x]
+            mine = _held(q, p)
+            both = int(mine.sum())
+            bits = np.zeros(-(-len(p) // 64) * 64, np.uint8)
+            bits[: len(p)] = _held(p, q)
+            good = both >= LEAST * (len(p) + len(q) - both) and aligned(x, y)
+            rows.append((lead, id_, good, len(q), len(p), both, np.packbits(bits, bitorder="little").view(np.int64), q[~mine].view(np.int64)))
+            weight += len(p) // 8 + 8 * (len(q) - both) + 64
+            if weight > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                rows, weight = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+
+def _near_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = _Read(_Words())
+    for b in batches:
+        good = [near(x, y, read) for x, y in zip(b.column("text_l").to_pylist(), b.column("text_x").to_pylist(), strict=True)]
+        yield b.select(["lead", "id"]).filter(pa.array(good, pa.bool_()))
 
 
-def with_partners(buckets: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows of buckets in which another text's size is in reach of the row's, and the row's in reach of the other's size."""
-    sized = buckets.join(limits, "id").where(_reach() >= F.col("size") * LEAST)
-    sized = stored(sized.withColumn("step", _step(F.col("size"))))
-    sizes = sized.groupBy("band", "h").agg(F.collect_set("step").alias("_steps"), F.count("*").alias("_n")).where("_n > 1")
-    low, high = _step(F.col("size") * LEAST), _step(_reach())
-    return sized.join(sizes, ["band", "h"]).where(F.exists("_steps", lambda x: (x >= low) & (x <= high)))
+def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct edges (a > b) between what names (id, class) calls their ends; ends that it lacks stay."""
+    one, two = names.select(F.col("id").alias("_i"), F.col("class").alias("_x")), names.select(F.col("id").alias("_j"), F.col("class").alias("_y"))
+    ends = edges.join(one, F.col("a") == F.col("_i"), "left").join(two, F.col("b") == F.col("_j"), "left").select(F.coalesce("_x", "a").alias("x"), F.coalesce("_y", "b").alias("y"))
+    return ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def possible(pairs: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pairs whose texts' sizes are in each other's reach."""
-    a = limits.select(F.col("id").alias("a"), F.col("size").alias("_size_a"), _reach().alias("_reach_a"))
-    b = limits.select(F.col("id").alias("b"), F.col("size").alias("_size_b"), _reach().alias("_reach_b"))
-    return pairs.join(a, "a").join(b, "b").where("_size_b <= _reach_a and _size_a <= _reach_b").select("a", "b")
+def _followed(hooks: DataFrame) -> DataFrame:
+    """id, class from pointers (a, b): the last one that a's way leads to. Two doublings a round."""
+    while True:
+        once = lambda h: h.join(h.select(F.col("a").alias("_a"), F.col("b").alias("_b")), F.col("b") == F.col("_a"), "left")
+        twice = once(once(hooks).select("a", F.coalesce("_b", "b").alias("b")))
+        hooks = stored(twice.select("a", F.coalesce("_b", "b").alias("b"), F.col("_b").isNotNull().alias("on")))
+        if hooks.where("on").isEmpty():
+            return hooks.select(F.col("a").alias("id"), F.col("b").alias("class"))
+
+
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (id, class) after all classes that edges (a, b; ids) connect became one, named by the least of them. A class
+    hooks to its least neighbour if that is less than itself; pointers are followed to their ends; what edges are left join
+    those. So long chains and large stars both take few rounds."""
+    edges = stored(_renamed(edges, labels))
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        names = _followed(stored(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a")))
+        to = names.select(F.col("id").alias("_id"), F.col("class").alias("_class"))
+        labels = stored(labels.join(to, F.col("class") == F.col("_id"), "left").select("id", F.coalesce("_class", "class").alias("class")))
+        edges = stored(_renamed(edges, names))
+    return labels
 
 
-def across(near_lead: DataFrame, fringe: DataFrame, labels: DataFrame, limits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a document near a leader and one of the leader's fringe that are in different classes and whose
-    sizes are in each other's reach. They meet by steps of size, a leader's fringe spread over SALTS parts."""
-    part = F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("part")
-    sized = labels.join(limits.withColumn("reach", _reach()), "id")
-    outer = fringe.distinct().join(sized, "id").where(F.col("reach") >= F.col("size") * LEAST)
-    outer = outer.select("lead", part, F.col("id").alias("y"), F.col("class").alias("y_class"), F.col("size").alias("y_size"), F.col("reach").alias("y_reach"), F.explode(F.sequence(_step(F.col("size") * LEAST), _step(F.col("reach")))).alias("step"))
-    inner = near_lead.distinct().join(fringe.select("lead").distinct(), "lead", "left_semi").join(sized, "id")
-    inner = inner.select(F.col("lead").alias("_lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("_part"), F.col("id").alias("x"), F.col("class").alias("x_class"), F.col("size").alias("x_size"), F.col("reach").alias("x_reach"), _step(F.col("size")).alias("_step"))
-    same = (F.col("lead") == F.col("_lead")) & (F.col("part") == F.col("_part")) & (F.col("step") == F.col("_step"))
-    met = outer.join(inner, same & (F.col("x_class") != F.col("y_class")) & (F.col("x_size") <= F.col("y_reach")) & (F.col("y_size") <= F.col("x_reach")))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def bands(sk: str) -> Column:
+    """A 64-bit value for each band of ROWS sketches, in which the band's number counts."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(sk, i * ROWS + 1, ROWS)))
+
+
+def stars(nodes: DataFrame) -> DataFrame:
+    """lead, id of all nodes (id, sk) that share a bucket with the node that leads it."""
+    spread = nodes.select("id", F.explode(F.array_distinct(bands("sk"))).alias("h"))
+    # what is told of buckets is stored before it is joined back: a hot bucket's rows can then be dealt to several tasks
+    shared = stored(spread.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))  # buckets of one node go at once
+    buckets = stored(spread.join(shared, "h"))
+    support = buckets.groupBy("id").agg(F.sum("n").alias("support"))
+    lead = stored(buckets.join(support, "id").groupBy("h").agg(F.max(F.struct("support", -F.col("id"))).alias("m")).select("h", (-F.col("m.col2")).alias("lead")))
+    return stored(buckets.select("h", "id").join(lead, "h").where("id <> lead").select("lead", "id").distinct())
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """lead, id, text_l, text_x; pairs of one leader come one after another."""
+    one = pairs.join(texts.select(F.col("id").alias("_x"), F.col("text").alias("text_x")), F.col("id") == F.col("_x")).select("lead", "id", "text_x")
+    return one.join(texts.select(F.col("id").alias("_l"), F.col("text").alias("text_l")), F.col("lead") == F.col("_l")).select("lead", "id", "text_l", "text_x")
+
+
+def may_be_near(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (lead, id) of nodes of one star that are in different classes and have similar k-mers, from what the comparisons
+    with the leader told. met: as _MET; labels: id, class."""
+    named = labels.select(F.col("id").alias("_id"), "class")
+    of = met.join(named, F.col("id") == F.col("_id")).drop("_id").join(named.select(F.col("_id"), F.col("class").alias("lead_class")), F.col("lead") == F.col("_id")).drop("_id")
+    of = of.withColumn("out", F.col("class") != F.col("lead_class"))
+    open_ = of.where("out").select(F.col("lead").alias("_lead")).distinct()
+    of = stored(of.join(open_, F.col("lead") == F.col("_lead"), "left_semi").drop("lead_class", "near"))
+    alone = of.select("lead", "id", F.explode("other").alias("k")).groupBy("lead", "k").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    alone = alone.groupBy(F.col("lead").alias("_l"), F.col("id").alias("_i")).agg(F.count("*").alias("alone"))
+    known = of.join(alone, (F.col("lead") == F.col("_l")) & (F.col("id") == F.col("_i")), "left")
+    # a pair differs in alone + alone' + |held xor held'| k-mers at least; near ones in at most APART * (size + size')
+    step = F.greatest(F.floor(F.col("lead_size") / STEPS), F.lit(1)).alias("step")
+    need = (F.coalesce("alone", F.lit(0)) - APART * F.col("size")).alias("need")
+    known = stored(known.select("lead", "id", "class", "out", "size", "shared", "held", "other", step, need))
+    reach = F.col("size") * APART / LEAST - F.col("need")  # the other's size is at most size / LEAST
+    far = lambda x: F.floor(F.greatest(F.least(x, F.col("step") * (STEPS + 1) * 2.0), F.lit(0.0)) / F.col("step"))
+    at = F.explode(F.sequence(far(F.col("shared") - reach), far(F.col("shared") + reach))).alias("at")
+    carried = ("class", "need", "size", "shared", "held", "other")
+    one = known.where(F.col("out")).where(reach >= 0).select(F.col("lead").alias("l"), F.col("id").alias("x"), *(F.col(c).alias(f"x_{c}") for c in carried), at)
+    two = known.select("lead", F.col("id").alias("y"), F.col("out").alias("y_out"), *(F.col(c).alias(f"y_{c}") for c in carried), F.floor(F.col("shared") / F.col("step")).alias("y_at"))
+    same = (F.col("l") == F.col("lead")) & (F.col("at") == F.col("y_at")) & (F.col("x_class") != F.col("y_class")) & (~F.col("y_out") | (F.col("x") < F.col("y")))
+    cheap = F.col("x_need") + F.col("y_need") + F.abs(F.col("x_shared") - F.col("y_shared")) <= 1e-6
+    differ = F.aggregate(F.zip_with("x_held", "y_held", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    apart = differ + F.size("x_other") + F.size("y_other") - 2 * F.size(F.array_intersect("x_other", "y_other"))
+    met_again = one.join(two, same & cheap & (apart <= APART * (F.col("x_size") + F.col("y_size")) + 1e-6))
+    return met_again.select(F.least("x", "y").alias("lead"), F.greatest("x", "y").alias("id")).distinct()
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, tkey (hash of the text), class_id (the smallest doc_id of its class; null for a
+    null doc_id), first (whether doc_id and tkey are the least of the class), words (whether
+    the text has any)."""
+    small_batches(docs.sparkSession)
+    base = keyed(docs, id_col, text_col)
+    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>"))
+    with_words = rows.where("k1 is not null and doc_id is not null")
+    # one node for equal word sequences; its text is that of the smallest doc_id
+    node = with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk"))
+    nodes = stored(node.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", F.col("r.doc_id").alias("rep"), F.col("r.tkey").alias("rep_key"), "sk"))
+    star = stars(nodes.select("id", "sk"))
+    used = star.select("id").union(star.select("lead")).distinct()
+    keys = stored(nodes.select("id", "rep", "rep_key").join(used, "id"))
+    wanted = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    # rows that are equal in doc_id and text give a node's text more than once
+    texts = stored(base.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("tkey") == F.col("rep_key"))).select("id", "text").dropDuplicates(["id"]))
+    labels = stored(used.select("id", F.col("id").alias("class")))
+    met = stored(with_texts(star, texts).mapInArrow(_compared, _MET))
+    labels = components(met.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b")), labels)
+    again = stored(may_be_near(met, labels))
+    late = with_texts(again, texts).mapInArrow(_near_only, "a long, b long")
+    labels = components(stored(late), labels)
+    named = nodes.join(labels.select(F.col("id").alias("_id"), "class"), F.col("id") == F.col("_id"), "left").select("k1", "k2", "rep", "rep_key", F.coalesce("class", "id").alias("class"))
+    least = named.groupBy("class").agg(F.min(F.struct("rep", "rep_key")).alias("m")).select(F.col("class").alias("_class"), "m")
+    told = named.join(least, F.col("class") == F.col("_class")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "m")
+    of_row = rows.select("doc_id", "tkey", "k1", "k2").join(told, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").isNotNull(), "left")
+    lone = F.col("m").isNull()
+    return of_row.select("doc_id", "tkey", F.coalesce("m.rep", "doc_id").alias("class_id"), (lone | ((F.col("doc_id") == F.col("m.rep")) & (F.col("tkey") == F.col("m.rep_key")))).alias("first"), F.col("k1").isNotNull().alias("words"))
 
 
-def verify(pairs: DataFrame, there: DataFrame) -> DataFrame:
-    """a, b, g (sketches that agree), near. there: id, text, sk. Pairs that agree on fewer than AGREE bring no text."""
-    one = pairs.join(there.select(F.col("id").alias("a"), F.col("sk").alias("sk_a")), "a").join(there.select(F.col("id").alias("b"), F.col("sk").alias("sk_b")), "b")
-    alike = F.aggregate(F.zip_with("sk_a", "sk_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    scored = stored(one.select("a", "b", alike.alias("g")))
-    close = scored.where(F.col("g") >= AGREE).select("a", "b")
-    both = close.join(there.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(there.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    good = both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "_a long, _b long")
-    return scored.join(good, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left").select("a", "b", "g", F.col("_a").isNotNull().alias("near"))
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the smallest doc_id of its class)."""
+    return classes(docs, id_col=id_col, text_col=text_col).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with only the document of smallest id of each class, once. Rows with a null doc_id stay."""
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col).where("doc_id = class_id").select(F.col("class_id").alias("_keep")).distinct()
-    only = docs.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return only.join(classes, F.col(id_col) == F.col("_keep"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each class: that of the least doc_id, of its texts the one of least hash, and of rows equal in
+    both the one whose columns hash least. Documents without words and rows with a null doc_id stay, all of them."""
+    of = stored(classes(docs, id_col=id_col, text_col=text_col))
+    gone = stored(of.where("not first").select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct())
+    twice = stored(of.where("first and words and doc_id is not null").groupBy(F.col("doc_id").alias("_twice_id"), F.col("tkey").alias("_twice_key")).agg(F.count("*").alias("n")).where("n > 1"))
+    hint = F.broadcast if gone.count() <= BROADCAST_KEYS else (lambda x: x)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col).cast("string")).alias("key"))
+    kept = rows.join(hint(gone), (F.col("id") == F.col("_gone_id")) & (F.col("key") == F.col("_gone_key")), "left_anti")
+    if not twice.isEmpty():
+        again = (F.col("id") == F.col("_twice_id")) & (F.col("key") == F.col("_twice_key"))
+        order = Window.partitionBy("id", "key").orderBy(F.xxhash64("row"))
+        one = kept.join(twice, again, "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        kept = kept.join(twice, again, "left_anti").unionByName(one)
+    return kept.select("row.*")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
