@@ -24,6 +24,7 @@ by text; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import time
@@ -39,13 +40,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, table
+from .common import shared_dir, small_batches, stored, table
 
 BLOCK = 1024
 PERCENTILE = 0.95
 END_ID = 2
 #: Pieces whose ids a worker holds; past it, the cache starts anew.
-CACHE = 1_000_000
+CACHE = 300_000
 TOKENIZER = "word_bpe_49k.json"
 _HEAD, _FOOT, _BLOCK = b"RGTOK001", b"RGTOKEND", struct.Struct("<IHBH")
 _NO_ID = -(1 << 63)
@@ -198,6 +199,12 @@ def read_documents(source, blocks_at_once: int = 256) -> Iterator[tuple[int | No
 #: Texts of other characters than these, or with a special token's mark, are encoded whole, without the cache.
 _PLAIN = re.compile("[^\t-\r\x20-\x7e\xc0-\u017f\u2013\u2014\u2018-\u201e\u2026]")
 #: What the tokenizer's own pre-tokenizer pattern finds in such texts.
+#: The rules of the tokenizer file for which _PIECE and Pieces.encode stand.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZERS = (
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+)
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -207,6 +214,16 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(plain))}
 
 
+def has_known_rules(config: str) -> bool:
+    """Whether a tokenizer parts texts as _PIECE does: the normalizer and pre-tokenizer are those written here, and all added
+    tokens begin with a mark that sends texts to the library. Any other tokenizer encodes whole texts."""
+    rules = json.loads(config)
+    parts = rules["pre_tokenizer"] or {}
+    parts = parts.get("pretokenizers", [parts])
+    same = [{k: p.get(k) for k in want} for p, want in zip(parts, PRE_TOKENIZERS, strict=False)] == list(PRE_TOKENIZERS) and len(parts) == len(PRE_TOKENIZERS)
+    return same and rules["normalizer"] == NORMALIZER and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+
+
 class Pieces:
     """Encodes texts piece by piece; holds the ids, as bytes, of up to `cache` pieces."""
 
@@ -215,6 +232,7 @@ class Pieces:
 
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.plain = has_known_rules(self.tokenizer.to_str())
 
     def _learn(self, piece: str) -> bytes:
         word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
@@ -223,7 +241,7 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, 32-bit in this machine's byte order."""
-        if _PLAIN.search(text) or "<|" in text:
+        if not self.plain or _PLAIN.search(text) or "<|" in text:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = _PIECE.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
         found = list(map(self.known.get, pieces))
@@ -287,7 +305,9 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[t]) for k, t in (x.split() for x in _MANIFEST.split(", "))]))
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text parts rows that repeat a doc_id, or lack one, over as many files as they need
+    small_batches(docs.sparkSession)
+    ordered = base.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     manifest = stored(ordered.mapInArrow(run, _MANIFEST))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("before", F.coalesce(before, F.lit(0)))
@@ -312,7 +332,9 @@ def read_tokens(manifest: DataFrame, ids: bool = False) -> DataFrame:
                     if rows:
                         yield _batch(rows)
 
-    return manifest.select("file", "before").repartition(F.col("file")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    # as many partitions as files: without a number, so few small rows would be put into one task
+    files = max(1, manifest.count())
+    return manifest.select("file", "before").repartition(files, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
