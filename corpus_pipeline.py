@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rivergraph.functions.scratch import drop_scratch, scratch_tables
 from rivergraph.llm import decontaminate, mixing, neardup, tokens, toxicity
 from rivergraph.llm.common import stored, table
 
@@ -35,12 +36,16 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("decontamination", contamination), ("mixing", mixture), ("tokens", token_files)]
 
-#: The first stages' models and the tokenizer have no form in SQL; tests hold run() against a brute-force version.
+#: The first stages' models and the tokenizer have no form in SQL; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What a stage has written for itself goes when its result is stored; what came before run() stays."""
+    docs, known = table(spark, sf_dir, "documents"), scratch_tables(spark)
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        found = stage(spark, docs, sf_dir)
+        before = scratch_tables(spark)
+        docs = stored(found)
+        drop_scratch(spark, before - known)
     return docs
