@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType, NumericType
 
-from rivergraph.errors import TerrainProductsError, TopologyCycleError
+from rivergraph.errors import MissingColumnsError, TerrainProductsError, TopologyCycleError
+from rivergraph.functions.numbering import numbered
 
 from .doubling import path_fold
+from .topology import require_columns
 
 #: Directions 1 to 8 are N NE E SE S SW W NW, as (row, column) steps; 0 ends, -1 is no data.
 #: SCAN: the order in which crossings from one cell are met when cells are read row by row, each with its neighbours
@@ -43,7 +46,19 @@ def valid(c: str = "z") -> Column:
     return z.isNotNull() & ~F.isnan(z) & (F.abs(z) != float("inf"))
 
 
+def check_cells(cells: DataFrame) -> None:
+    """Raise unless cells has row, col, label (whole numbers), z (a number) and is_drain (true or false)."""
+    try:
+        require_columns(cells, ("row", "col", "label", "z", "is_drain"))
+    except MissingColumnsError as e:
+        raise TerrainProductsError(str(e)) from e
+    kinds = {"row": IntegralType, "col": IntegralType, "label": IntegralType, "z": NumericType, "is_drain": BooleanType}
+    if bad := [n for n, k in kinds.items() if not isinstance(cells.schema[n].dataType, k)]:
+        raise TerrainProductsError(f"columns of a type that does not fit: {', '.join(bad)}")
+
+
 def check_drainage(cells: DataFrame) -> None:
+    check_cells(cells)
     if not cells.where(F.col("is_drain") & ~(valid() & (F.col("label") >= 0))).isEmpty():
         raise TerrainProductsError("drainage lies on cells without data")
 
@@ -131,8 +146,7 @@ def ltnd(routed: DataFrame) -> DataFrame:
 def basins(routed: DataFrame) -> DataFrame:
     """row, col, basin: terminals numbered from 0 by the first of their cells in row-major order."""
     first = routed.groupBy("trow", "tcol").agg(F.min(F.struct("row", "col")).alias("first"))
-    numbered = first.withColumn("basin", F.row_number().over(Window.orderBy("first")) - 1)
-    return routed.join(numbered, ["trow", "tcol"]).select("row", "col", "basin")
+    return routed.join(numbered(first, ["first"], "basin"), ["trow", "tcol"]).select("row", "col", "basin")
 
 
 def corridor_costs(directed: DataFrame, width: float, height: float) -> DataFrame:

@@ -18,12 +18,13 @@ from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivergraph.errors import TerrainProductsError
 from rivergraph.functions import crs as systems
 from rivergraph.functions import geom
+from rivergraph.functions.numbering import numbered
 from rivergraph.functions.scratch import stored
 from rivergraph.sources import geotiff
 from rivergraph.sources.paths import TerrainPaths, terrain_paths
@@ -97,7 +98,8 @@ def pixel_sizes(transform: tuple) -> tuple[float, float]:
 
 def labelled(catchments: DataFrame, id_col: str = "id") -> DataFrame:
     """id, label (from 0 in the order of ids as text), geometry."""
-    ids = catchments.select(F.col(id_col).alias("id")).withColumn("label", F.row_number().over(Window.orderBy(F.col("id").cast("string"))) - 1)
+    ids = catchments.select(F.col(id_col).alias("id")).withColumn("text", F.col("id").cast("string"))
+    ids = numbered(ids, ["text"], "label").select("id", F.col("label").cast("int").alias("label"))
     return catchments.select(F.col(id_col).alias("id"), "geometry").join(ids, "id")
 
 

@@ -9,6 +9,7 @@ import rivergraph
 from rivergraph import cli
 from rivergraph.errors import InvalidInputSchemaError, TerrainProductsError
 from rivergraph.functions import crs, geom
+from rivergraph.functions.numbering import numbered
 from rivergraph.operators import cells, coarsen, terrain
 from rivergraph.operators.routing import flow_directions, route
 from rivergraph.sources import geotiff
@@ -293,6 +294,21 @@ def test_terrain_validation(spark, tmp_path):
         run(*layers(spark, {1: (0, 0, 30, 30)}, {1: [(25, 2), (25, 28)]}), ground(spark, tmp_path, [[3, 2, None]] * 3))
 
 
+def test_numbers_run_over_parts(spark):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 as k", "id")
+    got = numbered(rows, ["k"], "n").collect()
+    assert {(r["k"], r["n"]) for r in got} == {(k, k) for k in range(5000)} and numbered(rows.limit(0), ["k"], "n").count() == 0
+
+
+def test_cells_need_their_columns(spark):
+    g = grid(spark, [[1, 2]], {(0, 0)})
+    for bad in (g.drop("label"), g.withColumn("label", g["z"]), g.withColumn("is_drain", g["row"])):
+        with pytest.raises(TerrainProductsError):
+            cells.agree(bad)
+        with pytest.raises(TerrainProductsError):
+            flow_directions(bad, 1.0, 1.0)
+
+
 def test_exports():
     assert rivergraph.compute_hand is cells.hand and rivergraph.compute_ltnd is cells.ltnd and rivergraph.compute_flow_directions is flow_directions
 
