@@ -12,13 +12,24 @@ from pyspark.sql import functions as F
 
 from rivergraph.functions.scratch import clear_scratch, shared_dir, stored
 
-__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "clear_scratch", "keyed", "shared_dir", "small_batches", "stored", "table", "text_key"]
+__all__ = ["ASCII_SPACE", "LOWER", "UPPER", "ascii_lower", "clear_scratch", "keyed", "shared_dir", "small_batches", "stored", "table", "text_key"]
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Characters that lower() might change, A-Z aside: capitals, and what newer tables than Java's may know as such.
+_CAPITALS = r"[\p{IsUppercase}\p{Lt}\p{Cn}\x{10000}-\x{10FFFF}&&[^A-Z]]"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is. lower() does the same where there are no other capitals, many times faster
+    than a translation character by character."""
+    plain = (F.octet_length(text) == F.char_length(text)) | ~text.rlike(_CAPITALS)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

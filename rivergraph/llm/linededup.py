@@ -7,7 +7,7 @@ Only 128-bit hashes move. They are range-partitioned by (hash, document, positio
 over as many partitions as they need, and sorted inside each. A pass streams the sorted rows: it holds one row, compares,
 and drops what is not the first document of its run. A run that a partition boundary cuts is settled by its two ends: each
 partition reports the first document of its first and last run (two rows a partition, broadcast), and the rows of a
-partition's first run wait for the smallest of those. Repeats of a line inside one document travel as one row.
+partition's first run wait for the smallest of those.
 
 What comes back is a bitmap of kept lines per document, zlib-compressed, no text.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, LOWER, UPPER, keyed, stored, table
+from .common import ASCII_SPACE, LOWER, UPPER, ascii_lower, keyed, small_batches, stored, table
 
 LEAST_CHARS = 10
 _LAST = (1 << 63) - 1
@@ -34,10 +34,11 @@ _LAST = (1 << 63) - 1
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
     """h1, h2, doc (order of documents), tkey, n_lines, at (positions of the line in the document)."""
-    lines = F.split("text", "\n", -1)
-    clean = F.transform(lines, lambda x: F.btrim(x, F.lit(ASCII_SPACE)))
-    one = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "tkey", F.size(lines).alias("n_lines"), F.posexplode(clean).alias("at", "line"))
-    one = one.where(F.char_length("line") >= least_chars).withColumn("line", F.translate("line", UPPER, LOWER))
+    # what holds for a document is made in a projection of its own: beside the generator it would be made once a line
+    n_lines = (F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("int")
+    whole = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "tkey", n_lines.alias("n_lines"), "text")
+    one = whole.select("doc", "tkey", "n_lines", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    one = one.withColumn("line", F.btrim("line", F.lit(ASCII_SPACE))).where(F.char_length("line") >= least_chars).withColumn("line", ascii_lower(F.col("line")))
     one = one.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
     return one.select("h1", "h2", "doc", "tkey", "n_lines", "at")
 
@@ -102,7 +103,9 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc (doc_id; null as 2**63 - 1), tkey, keep: one row per document that loses lines. Bit i of keep (little end
     first, after zlib) is line i."""
-    rows = line_rows(keyed(docs, id_col, text_col), least_chars).repartitionByRange("h1", "h2", "doc", "at")
+    small_batches(docs.sparkSession)
+    # the hashes are stored first: range partitioning reads its input twice, and the second time they need no text
+    rows = stored(line_rows(keyed(docs, id_col, text_col), least_chars)).repartitionByRange("h1", "h2", "doc", "at")
     told = stored(rows.sortWithinPartitions("h1", "h2", "doc", "at").mapInArrow(_stream, _OUT))
     edges = told.where("kind = 2").groupBy("h1", "h2").agg(F.min("first").alias("least"))
     late = told.where("kind = 1").join(F.broadcast(edges), ["h1", "h2"]).where("least < doc")
@@ -135,7 +138,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(count)
             gone.append(count - len(lines))
             sha.append(hashlib.sha256("\n".join(lines).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)],
+            names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
