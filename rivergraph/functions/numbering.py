@@ -15,4 +15,5 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn(name, inside.cast("long")).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_p", "_before")
+    return placed.withColumn(name, inside.cast("long")).join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name,
+        F.col(name) + F.col("_before")).drop("_part", "_p", "_before")

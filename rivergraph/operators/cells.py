@@ -71,18 +71,22 @@ def agree(cells: DataFrame, *, sharp: float = 80, smooth: float = 8, buffer: int
     reach = range(-buffer, buffer + 1)
     near = [(r, c, math.hypot(r, c)) for r in reach for c in reach if math.hypot(r, c) <= buffer]
     marks = F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(float(d)).alias("d")) for r, c, d in near))).alias("o")
-    reached = cells.where("is_drain").select("row", "col", "label", marks).select((F.col("row") + F.col("o.r")).alias("row"), (F.col("col") + F.col("o.c")).alias("col"), "label", F.col("o.d").alias("d"))
+    reached = cells.where("is_drain").select("row", "col", "label", marks).select((F.col("row") + F.col("o.r")).alias("row"),
+        (F.col("col") + F.col("o.c")).alias("col"), "label", F.col("o.d").alias("d"))
     least = reached.groupBy("row", "col", "label").agg(F.min("d").alias("d"))
-    z = F.col("z") + F.when(F.col("d").isNotNull() & valid(), F.lit(float(smooth)) * (F.col("d") - buffer)).otherwise(F.lit(0.0)) - F.when(F.col("is_drain"), F.lit(float(sharp))).otherwise(F.lit(0.0))
+    z = F.col("z") + F.when(F.col("d").isNotNull() & valid(),
+        F.lit(float(smooth)) * (F.col("d") - buffer)).otherwise(F.lit(0.0)) - F.when(F.col("is_drain"), F.lit(float(sharp))).otherwise(F.lit(0.0))
     return cells.join(least, ["row", "col", "label"], "left").withColumn("z", z).select(*cells.columns)
 
 
 def neighbours(cells: DataFrame, width: float, height: float, codes=range(1, 9)) -> DataFrame:
     """row, col, label, code, dist, and nrow, ncol of every neighbour of the same label with data, with both z."""
     steps = step_lengths(width, height)
-    offsets = F.explode(F.array(*(F.struct(F.lit(k).alias("code"), F.lit(OFFSETS[k - 1][0]).alias("r"), F.lit(OFFSETS[k - 1][1]).alias("c"), F.lit(steps[k - 1]).alias("dist")) for k in codes))).alias("o")
+    offsets = F.explode(F.array(*(F.struct(F.lit(k).alias("code"), F.lit(OFFSETS[k - 1][0]).alias("r"), F.lit(OFFSETS[k - 1][1]).alias("c"),
+        F.lit(steps[k - 1]).alias("dist")) for k in codes))).alias("o")
     held = cells.where(valid() & (F.col("label") >= 0))
-    out = held.select("row", "col", "label", "z", "is_drain", offsets).select("row", "col", "label", "z", "is_drain", "o.code", "o.dist", (F.col("row") + F.col("o.r")).alias("nrow"), (F.col("col") + F.col("o.c")).alias("ncol"))
+    out = held.select("row", "col", "label", "z", "is_drain", offsets).select("row", "col", "label", "z", "is_drain", "o.code", "o.dist",
+        (F.col("row") + F.col("o.r")).alias("nrow"), (F.col("col") + F.col("o.c")).alias("ncol"))
     other = held.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"), "label", F.col("z").alias("nz"))
     return out.join(other, ["nrow", "ncol", "label"])
 
@@ -91,7 +95,8 @@ def natural_d8(cells: DataFrame, width: float, height: float) -> DataFrame:
     """row, col, label, z, code: the steepest strictly lower neighbour, of equal slopes the first by row and column; 0 for
     drainage; null where no neighbour is lower."""
     lower = neighbours(cells, width, height).where((F.col("nz") < F.col("z")) & ~F.col("is_drain"))
-    best = lower.groupBy("row", "col").agg(F.max_by("code", F.struct(((F.col("z") - F.col("nz")) / F.col("dist")).alias("slope"), (-F.col("nrow")).alias("r"), (-F.col("ncol")).alias("c"))).alias("code"))
+    best = lower.groupBy("row", "col").agg(F.max_by("code",
+        F.struct(((F.col("z") - F.col("nz")) / F.col("dist")).alias("slope"), (-F.col("nrow")).alias("r"), (-F.col("ncol")).alias("c"))).alias("code"))
     held = cells.where(valid() & (F.col("label") >= 0))
     return held.join(best, ["row", "col"], "left").select("row", "col", "label", "z", F.when(F.col("is_drain"), 0).otherwise(F.col("code")).cast("int").alias("code"))
 
@@ -128,7 +133,8 @@ def routes(directed: DataFrame, width: float = 1.0, height: float = 1.0) -> Data
     except TopologyCycleError:
         raise TerrainProductsError("flow directions form a cycle") from None
     row, col = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    return told.select(row("id").alias("row"), col("id").alias("col"), F.col("hops").alias("rank"), F.col("dist").alias("length"), row("terminal").alias("trow"), col("terminal").alias("tcol"))
+    return told.select(row("id").alias("row"), col("id").alias("col"), F.col("hops").alias("rank"), F.col("dist").alias("length"),
+        row("terminal").alias("trow"), col("terminal").alias("tcol"))
 
 
 def hand(cells: DataFrame, routed: DataFrame) -> DataFrame:
@@ -165,8 +171,10 @@ def basin_edges(directed: DataFrame, width: float, height: float) -> DataFrame:
     way = routes(directed, width, height)
     facts = corridor_costs(directed, width, height).join(basins(way), ["row", "col"])
     near = neighbours(directed.withColumn("is_drain", F.lit(False)), width, height)
-    one = near.join(facts, ["row", "col"]).join(facts.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"), F.col("basin").alias("target")), ["nrow", "ncol"]).where("basin <> target")
-    cost = F.struct("cut_max", "cut_sum", (F.col("length") + F.col("dist")).alias("length"), F.col("row").alias("orow"), F.col("col").alias("ocol"), F.array_position(F.array(*map(F.lit, SCAN)), F.col("code")).alias("met"), F.col("nrow").alias("drow"), F.col("ncol").alias("dcol"))
+    one = near.join(facts, ["row", "col"]).join(facts.select(F.col("row").alias("nrow"), F.col("col").alias("ncol"),
+        F.col("basin").alias("target")), ["nrow", "ncol"]).where("basin <> target")
+    cost = F.struct("cut_max", "cut_sum", (F.col("length") + F.col("dist")).alias("length"), F.col("row").alias("orow"),
+        F.col("col").alias("ocol"), F.array_position(F.array(*map(F.lit, SCAN)), F.col("code")).alias("met"), F.col("nrow").alias("drow"), F.col("ncol").alias("dcol"))
     return one.groupBy(F.col("basin").alias("source"), "target").agg(F.min(cost).alias("c")).select("source", "target", "c.*").drop("met")
 
 

@@ -13,7 +13,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import BinaryType, NumericType
 
 from rivergraph.errors import DuplicateSegmentIdError, InvalidInputSchemaError
 from rivergraph.functions import geom
@@ -39,6 +39,8 @@ def check_layer(df: DataFrame, what: str) -> None:
         raise InvalidInputSchemaError(f"{what}: columns must be {', '.join(LAYER)}; found {', '.join(df.columns)}")
     if bad := [n for n in NUMERIC if not isinstance(df.schema[n].dataType, NumericType)]:
         raise InvalidInputSchemaError(f"{what}: not numeric: {', '.join(bad)}")
+    if not isinstance(df.schema["geometry"].dataType, BinaryType):
+        raise InvalidInputSchemaError(f"{what}: geometry must be WKB")
 
 
 def merge_short(ids: list, downs: list, lengths: list[float], least: float) -> dict:
@@ -110,7 +112,8 @@ def assign_nearest(wanted: DataFrame, nodes: DataFrame, assigned: DataFrame, len
         seed = linked.where("g is not null and d is not null and dg is null").groupBy("d").agg(F.min("g").alias("met"))
         open_ = linked.where("g is null").select("id", F.when(F.col("dg").isNull(), F.col("d")).alias("p")).join(seed.withColumnRenamed("d", "id"), "id", "left")
         above = subtree_fold(open_, {"met": F.min}, {"met": F.least})
-        best = below.join(above.withColumnRenamed("met", "up"), "id").select("id", F.least("met", "up").alias("best")).where("best is not null").select("id", F.col("best.mini_id").alias("m"))
+        best = below.join(above.withColumnRenamed("met", "up"), "id").select("id",
+            F.least("met", "up").alias("best")).where("best is not null").select("id", F.col("best.mini_id").alias("m"))
         found = best.withColumnRenamed("m", "m1") if found is None else found.join(best, "id", "full").select("id", F.coalesce("m1", "m").alias("mini_id"))
     return wanted.select("id").join(found, "id")
 
@@ -136,7 +139,8 @@ def downstream_group(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
 def representatives(eligible: DataFrame, assigned: DataFrame) -> DataFrame:
     """mini_id, rep: the member of greatest (upstream_area, unit_length, id as text), and sums over members."""
     order = F.struct("upstream_area", "unit_length", F.col("id").cast("string"))
-    return eligible.join(assigned, "id").groupBy("mini_id").agg(F.max_by("id", order).alias("rep"), F.sum("unit_length").alias("unit_length"), F.sum("unit_area").alias("unit_area"))
+    return eligible.join(assigned, "id").groupBy("mini_id").agg(F.max_by("id", order).alias("rep"),
+        F.sum("unit_length").alias("unit_length"), F.sum("unit_area").alias("unit_area"))
 
 
 def aggregate_minibasins(catchments: DataFrame, segments: DataFrame, *, uparea_min: float, lmin: float, with_labels: bool = False) -> Minis:
@@ -168,7 +172,8 @@ def aggregate_minibasins(catchments: DataFrame, segments: DataFrame, *, uparea_m
     next_group = downstream_group(eligible_net.select("id", "p"), kept)
     carried = eligible.select(F.col("id").alias("rep"), "sub", "strahler_order", "upstream_length", "upstream_area", "water_course")
     attrs = reps.join(carried, "rep").join(next_group.withColumnRenamed("id", "rep"), "rep")
-    attrs = stored(attrs.select("mini_id", F.col("rep").alias("id"), F.col("mini_down").alias("id_down"), "sub", "strahler_order", "unit_length", "upstream_length", "unit_area", "upstream_area", "water_course"))
+    attrs = stored(attrs.select("mini_id", F.col("rep").alias("id"), F.col("mini_down").alias("id_down"), "sub", "strahler_order",
+        "unit_length", "upstream_length", "unit_area", "upstream_area", "water_course"))
     columns = [*LAYER, *(["mini_label"] if with_labels else [])]
     seg_shape = geom.dissolve(segments.select(F.col("id").cast(kind).alias("id"), "geometry").join(kept, "id"), "mini_id")
     cat_shape = geom.dissolve(cat.select("mini_id", "geometry"), "mini_id")

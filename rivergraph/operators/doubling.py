@@ -52,7 +52,8 @@ def path_fold(nodes: DataFrame, combine: dict[str, Callable[[Column, Column], Co
             every = every.unionByName(part)
         ahead = every.select(F.col("id").alias("_id"), F.col("p").alias("_p"), *(F.col(n).alias(f"_{n}") for n in names))
         joined = _open(now).join(ahead, F.col("p") == F.col("_id"), "left")
-        now = stored(joined.select("id", F.col("_p").alias("p"), *(F.when(F.col("_id").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names)))
+        now = stored(joined.select("id", F.col("_p").alias("p"),
+            *(F.when(F.col("_id").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names)))
         ended.append(now.where("p is null"))
     out = ended[0]
     for part in ended[1:]:

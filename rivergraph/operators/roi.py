@@ -41,7 +41,8 @@ def main_stems(nodes: DataFrame) -> DataFrame:
 
 
 def define_roi(
-    catchments: DataFrame, segments: DataFrame, *, outlet_ids: Iterable, destine_crs: str, source_crs: str | None = None, catchments_crs: str | None = None, segments_crs: str | None = None,
+    catchments: DataFrame, segments: DataFrame, *, outlet_ids: Iterable, destine_crs: str, source_crs: str | None = None,
+        catchments_crs: str | None = None, segments_crs: str | None = None,
     id_col: str = "id", id_down_col: str = "id_down", strahler_order_col: str = "strahler_order", keep_order: bool = True,
 ) -> Roi:
     """Both layers carry WKB in `geometry`; their CRS is source_crs, or else the one of the layer. With keep_order the rows come
@@ -58,7 +59,8 @@ def define_roi(
     net = network(segments, si, sd)
     kind = net.schema["id"].dataType
     project = lambda crs: transform_wkb(source_crs or crs, destine_crs)
-    seg = segments.select(F.col(si).cast(kind).alias("id"), F.col(sd).cast(kind).alias("id_down"), F.col(so).cast("int").alias("strahler_order"), "geometry", F.monotonically_increasing_id().alias("_at")).join(sub, "id")
+    seg = segments.select(F.col(si).cast(kind).alias("id"), F.col(sd).cast(kind).alias("id_down"),
+        F.col(so).cast("int").alias("strahler_order"), "geometry", F.monotonically_increasing_id().alias("_at")).join(sub, "id")
     cat = catchments.select(F.col(ci).cast(kind).alias("id"), "geometry", F.monotonically_increasing_id().alias("_at")).join(sub, "id")
     # only selected geometries are projected and measured
     seg = seg.withColumn("geometry", project(segments_crs)("geometry")).withColumn("unit_length", geom.length("geometry") / 1000)

@@ -198,9 +198,11 @@ def flow_directions(cells: DataFrame, width: float, height: float) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"])
         code, rank, lost = route(pdf["row"], pdf["col"], pdf["z"], pdf["is_drain"], width, height)
-        return pd.DataFrame({"row": pdf["row"].to_numpy(), "col": pdf["col"].to_numpy(), "code": code.astype("int32"), "rank": rank.astype("int32"), "lost": np.full(len(pdf), lost, "int64"), "label": pdf["label"].to_numpy()})
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "col": pdf["col"].to_numpy(), "code": code.astype("int32"),
+            "rank": rank.astype("int32"), "lost": np.full(len(pdf), lost, "int64"), "label": pdf["label"].to_numpy()})
 
-    held = cells.where(valid() & (F.col("label") >= 0)).select("row", "col", F.col("label").cast("int"), F.col("z").cast("double"), F.coalesce("is_drain", F.lit(False)).alias("is_drain"))
+    held = cells.where(valid() & (F.col("label") >= 0)).select("row", "col", F.col("label").cast("int"), F.col("z").cast("double"),
+        F.coalesce("is_drain", F.lit(False)).alias("is_drain"))
     out = stored(held.groupBy("label").applyInPandas(one, "row int, col int, code int, rank int, lost long, label int"))
     lost = out.groupBy("label").agg(F.max("lost").alias("lost")).agg(F.sum("lost")).first()[0]
     if lost:

@@ -58,7 +58,8 @@ def check_layers(catchments: Layer, segments: Layer, id_col: str) -> None:
             raise TerrainProductsError(f"{name} has no CRS")
         told = layer.rows.select(F.col(id_col).alias("id"), geom.kind_of("geometry").alias("kind"), geom.is_empty("geometry").alias("empty"))
         facts = told.agg(
-            F.count("*").alias("n"), F.count_if(F.col("empty").isNull() | F.col("empty")).alias("empty"), F.count_if(~F.col("kind").isin(*kinds)).alias("odd"), F.count_if(F.col("id").isNull()).alias("null"),
+            F.count("*").alias("n"), F.count_if(F.col("empty").isNull() | F.col("empty")).alias("empty"),
+                F.count_if(~F.col("kind").isin(*kinds)).alias("odd"), F.count_if(F.col("id").isNull()).alias("null"),
         ).first()
         if not facts["n"] or facts["empty"]:
             raise TerrainProductsError(f"{name} contains missing or empty geometry")
@@ -114,7 +115,8 @@ def rasterised(catchments: DataFrame, segments: DataFrame, transform: tuple, win
 
 
 def create_terrain_products(
-    dem_path: str, catchments: Layer, segments: Layer, output_dir: str, *, id_col: str = "id", write_flow_direction: bool = False, agree_sharp: float = 80.0, agree_smooth: float = 8.0, agree_buffer: int = 4
+    dem_path: str, catchments: Layer, segments: Layer, output_dir: str, *, id_col: str = "id", write_flow_direction: bool = False,
+        agree_sharp: float = 80.0, agree_smooth: float = 8.0, agree_buffer: int = 4
 ) -> TerrainReport:
     check_layers(catchments, segments, id_col)
     cells.check_agree(agree_sharp, agree_smooth, agree_buffer)
@@ -142,7 +144,8 @@ def create_terrain_products(
     paths = terrain_paths(str(output_dir), write_flow_direction)
     Path(output_dir).mkdir(parents=True, exist_ok=True)
     notes = {
-        "routing": "terrain-driven basin routing with catchment-confined AGREE conditioning and targeted shallow breaching", "agree_sharp": agree_sharp, "agree_smooth": agree_smooth,
+        "routing": "terrain-driven basin routing with catchment-confined AGREE conditioning and targeted shallow breaching",
+            "agree_sharp": agree_sharp, "agree_smooth": agree_smooth,
         "agree_buffer_pixels": agree_buffer, "direction_codes": "-1 nodata, 0 drainage, 1-8 N NE E SE S SW W NW",
     }
     out = [(hands, "hand", "float32", math.nan, paths.hand), (cells.ltnd(way), "ltnd", "float32", math.nan, paths.ltnd)]
@@ -150,7 +153,8 @@ def create_terrain_products(
         out.append((directed, "code", "int8", -1, paths.flow_direction))
     with tempfile.TemporaryDirectory(prefix=".terrain-", dir=output_dir) as private:
         for rows, value, dtype, nodata, path in out:
-            geotiff.write_grid(rows, value, f"{private}/{path.name}", width=window.width, height=window.height, transform=transform, crs=grid.crs, dtype=dtype, nodata=nodata, notes=notes)
+            geotiff.write_grid(rows, value, f"{private}/{path.name}", width=window.width, height=window.height, transform=transform,
+                crs=grid.crs, dtype=dtype, nodata=nodata, notes=notes)
         for *_, path in out:
             os.replace(f"{private}/{path.name}", path)
     report = cells.rank_report(table, hands).first()
@@ -158,6 +162,7 @@ def create_terrain_products(
     # negative HAND is reported as the files hold it
     single = lambda v: None if v is None else float(np.float32(v))
     return TerrainReport(
-        paths, report["owned_cells"], report["drainage_cells"], report["unreachable_components"], report["negative_hand_cells"], single(report["negative_hand_min"]), single(report["negative_hand_max"]),
+        paths, report["owned_cells"], report["drainage_cells"], report["unreachable_components"], report["negative_hand_cells"],
+            single(report["negative_hand_min"]), single(report["negative_hand_max"]),
         routed - agreed, 0.0, read - began + done - routed, agreed - read,
     )

@@ -24,7 +24,9 @@ from rivergraph.functions import geom
 
 #: Fixed values of the format: how a file begins, codes of column types, places of fields in the tables.
 MAGIC = b"fgb\x03fgb\x00"
-TYPES = {0: ("b", T.ByteType()), 1: ("B", T.ShortType()), 2: ("?", T.BooleanType()), 3: ("h", T.ShortType()), 4: ("H", T.IntegerType()), 5: ("i", T.IntegerType()), 6: ("I", T.LongType()), 7: ("q", T.LongType()), 8: ("Q", T.LongType()), 9: ("f", T.FloatType()), 10: ("d", T.DoubleType()), 11: ("", T.StringType()), 12: ("", T.StringType()), 13: ("", T.StringType()), 14: ("", T.BinaryType())}
+TYPES = {0: ("b", T.ByteType()), 1: ("B", T.ShortType()), 2: ("?", T.BooleanType()), 3: ("h", T.ShortType()), 4: ("H", T.IntegerType()),
+    5: ("i", T.IntegerType()), 6: ("I", T.LongType()), 7: ("q", T.LongType()), 8: ("Q", T.LongType()), 9: ("f", T.FloatType()),
+    10: ("d", T.DoubleType()), 11: ("", T.StringType()), 12: ("", T.StringType()), 13: ("", T.StringType()), 14: ("", T.BinaryType())}
 CODES = {"tinyint": 0, "boolean": 2, "smallint": 3, "int": 5, "bigint": 7, "float": 9, "double": 10, "string": 11, "binary": 14}
 H_NAME, H_TYPE, H_COLUMNS, H_COUNT, H_NODE, H_CRS = 0, 2, 7, 8, 9, 10
 C_NAME, C_TYPE = 0, 1

@@ -99,8 +99,10 @@ def open_grid(path: str) -> Grid:
     code = geo.get(_PROJECTED) or geo.get(_GEOGRAPHIC)
     nodata = bytes(tags[NODATA]).rstrip(b"\0 ").decode() if NODATA in tags else None
     return Grid(
-        str(path), width, height, tuple(map(float, transform)), None if code in (None, _USER) else f"EPSG:{code}", geo.get(_MODEL) == 1 or _PROJECTED in geo, geo.get(_UNITS, _METRE) == _METRE,
-        None if nodata is None else float(nodata), f"{end}{_KINDS[one(SAMPLE_FORMAT, 1)]}{one(BITS, 1) // 8}", block, tuple(offsets), tuple(counts), one(COMPRESSION, 1), one(PREDICTOR, 1), samples,
+        str(path), width, height, tuple(map(float, transform)), None if code in (None, _USER) else f"EPSG:{code}",
+            geo.get(_MODEL) == 1 or _PROJECTED in geo, geo.get(_UNITS, _METRE) == _METRE,
+        None if nodata is None else float(nodata), f"{end}{_KINDS[one(SAMPLE_FORMAT, 1)]}{one(BITS, 1) // 8}", block, tuple(offsets),
+            tuple(counts), one(COMPRESSION, 1), one(PREDICTOR, 1), samples,
     )
 
 
@@ -136,7 +138,8 @@ def _block(grid: Grid, number: int) -> np.ndarray:
     kind = np.dtype(grid.dtype)
     rows = min(rows, len(raw) // (cols * grid.samples * kind.itemsize))
     if grid.predictor == 3:  # bytes by significance, differenced along a row
-        planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * cols * grid.samples * kind.itemsize).reshape(rows, -1, grid.samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, cols * grid.samples)
+        planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * cols * grid.samples * kind.itemsize).reshape(rows, -1, grid.samples), axis=1,
+            dtype=np.uint8).reshape(rows, kind.itemsize, cols * grid.samples)
         data = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(rows, cols, grid.samples)
     else:
         data = np.frombuffer(raw, kind, rows * cols * grid.samples).reshape(rows, cols, grid.samples)
@@ -191,11 +194,13 @@ def packed_tiles(cells: DataFrame, value: str, dtype: str, nodata: float) -> Dat
         out[pdf["row"] % TILE, pdf["col"] % TILE] = pdf["v"].astype(dtype)
         return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "data": [zlib.compress(out.tobytes(), 6)]})
 
-    held = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("v"), F.expr(f"row div {TILE}").alias("tr"), F.expr(f"col div {TILE}").alias("tc"))
+    held = cells.where(F.col(value).isNotNull()).select("row", "col", F.col(value).cast("double").alias("v"),
+        F.expr(f"row div {TILE}").alias("tr"), F.expr(f"col div {TILE}").alias("tc"))
     return held.groupBy("tr", "tc").applyInPandas(one, "tr long, tc long, data binary")
 
 
-def write_grid(cells: DataFrame, value: str, path: str, *, width: int, height: int, transform: tuple, crs: str | None, dtype: str, nodata: float, notes: dict[str, object] | None = None) -> None:
+def write_grid(cells: DataFrame, value: str, path: str, *, width: int, height: int, transform: tuple, crs: str | None, dtype: str,
+    nodata: float, notes: dict[str, object] | None = None) -> None:
     """Write the cells (row, col, value) as one file; cells that are not there get nodata."""
     kind = np.dtype(dtype).newbyteorder("<")
     across, down = -(-width // TILE), -(-height // TILE)
@@ -217,8 +222,10 @@ def write_grid(cells: DataFrame, value: str, path: str, *, width: int, height: i
             text = lambda s: (2, (s + "\0").encode("latin-1", "replace"))
             number = lambda c, *v: (c, struct.pack(f"<{len(v)}{_CODES[c]}", *v))
             tags = {
-                WIDTH: number(4, width), HEIGHT: number(4, height), BITS: number(3, 8 * kind.itemsize), COMPRESSION: number(3, 8), PHOTOMETRIC: number(3, 1), SAMPLES: number(3, 1), PLANAR: number(3, 1),
-                TILE_WIDTH: number(3, TILE), TILE_HEIGHT: number(3, TILE), TILE_OFFSETS: number(code, *offsets.ravel().tolist()), TILE_COUNTS: number(code, *counts.ravel().tolist()),
+                WIDTH: number(4, width), HEIGHT: number(4, height), BITS: number(3, 8 * kind.itemsize), COMPRESSION: number(3, 8),
+                    PHOTOMETRIC: number(3, 1), SAMPLES: number(3, 1), PLANAR: number(3, 1),
+                TILE_WIDTH: number(3, TILE), TILE_HEIGHT: number(3, TILE), TILE_OFFSETS: number(code, *offsets.ravel().tolist()),
+                    TILE_COUNTS: number(code, *counts.ravel().tolist()),
                 SAMPLE_FORMAT: number(3, {v: k for k, v in _KINDS.items()}[kind.kind]), NODATA: text("nan" if math.isnan(nodata) else f"{nodata:g}"),
             }
             if sx or sy or dx < 0 or dy > 0:

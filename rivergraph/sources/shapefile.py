@@ -28,7 +28,8 @@ ROWS_A_TASK = 50_000
 #: Fixed values of the format: shape types, and widths and decimals of attributes by type.
 POINT, LINE, POLYGON, MULTIPOINT = 1, 3, 5, 8
 OF_WKB = {geom.POINT: POINT, geom.MULTIPOINT: MULTIPOINT, geom.LINE: LINE, geom.MULTILINE: LINE, geom.POLYGON: POLYGON, geom.MULTIPOLYGON: POLYGON}
-FIELDS = {"boolean": ("L", 1, 0), "tinyint": ("N", 4, 0), "smallint": ("N", 6, 0), "int": ("N", 9, 0), "bigint": ("N", 18, 0), "float": ("N", 24, 15), "double": ("N", 24, 15), "string": ("C", 254, 0)}
+FIELDS = {"boolean": ("L", 1, 0), "tinyint": ("N", 4, 0), "smallint": ("N", 6, 0), "int": ("N", 9, 0), "bigint": ("N", 18, 0),
+    "float": ("N", 24, 15), "double": ("N", 24, 15), "string": ("C", 254, 0)}
 
 
 def _dbf(path: Path) -> tuple[list[tuple[str, str, int, int]], int, int, int]:

@@ -32,8 +32,10 @@ from .paths import FORMATS
 ROWS_A_TASK = 100_000
 #: Fixed values of the GeoPackage standard: bytes of the envelope by its code, column types, marks of the file.
 ENVELOPE = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
-READ_TYPES = {"BOOLEAN": T.BooleanType(), "TINYINT": T.LongType(), "SMALLINT": T.LongType(), "MEDIUMINT": T.IntegerType(), "INT": T.LongType(), "INTEGER": T.LongType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
-WRITE_TYPES = {"boolean": "BOOLEAN", "tinyint": "MEDIUMINT", "smallint": "MEDIUMINT", "int": "MEDIUMINT", "bigint": "INTEGER", "float": "DOUBLE", "double": "DOUBLE", "string": "TEXT", "binary": "BLOB"}
+READ_TYPES = {"BOOLEAN": T.BooleanType(), "TINYINT": T.LongType(), "SMALLINT": T.LongType(), "MEDIUMINT": T.IntegerType(),
+    "INT": T.LongType(), "INTEGER": T.LongType(), "FLOAT": T.DoubleType(), "DOUBLE": T.DoubleType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
+WRITE_TYPES = {"boolean": "BOOLEAN", "tinyint": "MEDIUMINT", "smallint": "MEDIUMINT", "int": "MEDIUMINT", "bigint": "INTEGER",
+    "float": "DOUBLE", "double": "DOUBLE", "string": "TEXT", "binary": "BLOB"}
 APPLICATION_ID, USER_VERSION = 0x47504B47, 10300
 
 
@@ -116,17 +118,23 @@ def write_gpkg(layer: Layer, path: str) -> None:
     with closing(sqlite3.connect(part)) as db:
         db.executescript(
             f"pragma application_id = {APPLICATION_ID}; pragma user_version = {USER_VERSION};"
-            "create table gpkg_spatial_ref_sys (srs_name text not null, srs_id integer primary key, organization text not null, organization_coordsys_id integer not null, definition text not null, description text);"
-            "create table gpkg_contents (table_name text primary key, data_type text not null, identifier text unique, description text default '', last_change datetime not null default (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x double, min_y double, max_x double, max_y double, srs_id integer references gpkg_spatial_ref_sys(srs_id));"
-            "create table gpkg_geometry_columns (table_name text not null unique, column_name text not null, geometry_type_name text not null, srs_id integer not null, z tinyint not null, m tinyint not null, primary key (table_name, column_name));"
-            "insert into gpkg_spatial_ref_sys values ('Undefined Cartesian', -1, 'NONE', -1, 'undefined', null), ('Undefined geographic', 0, 'NONE', 0, 'undefined', null), ('WGS 84', 4326, 'EPSG', 4326, 'undefined', null);"
+            "create table gpkg_spatial_ref_sys (srs_name text not null, srs_id integer primary key, organization text not null, "
+                "organization_coordsys_id integer not null, definition text not null, description text);"
+            "create table gpkg_contents (table_name text primary key, data_type text not null, identifier text unique, description text default '', "
+                "last_change datetime not null default (strftime('%Y-%m-%dT%H:%M:%fZ','now')), min_x double, min_y double, max_x double, max_y double, srs_id integer "
+                "references gpkg_spatial_ref_sys(srs_id));"
+            "create table gpkg_geometry_columns (table_name text not null unique, column_name text not null, geometry_type_name text not null, srs_id "
+                "integer not null, z tinyint not null, m tinyint not null, primary key (table_name, column_name));"
+            "insert into gpkg_spatial_ref_sys values ('Undefined Cartesian', -1, 'NONE', -1, 'undefined', null), ('Undefined geographic', 0, 'NONE', "
+                "0, 'undefined', null), ('WGS 84', 4326, 'EPSG', 4326, 'undefined', null);"
         )
         db.execute("insert or ignore into gpkg_spatial_ref_sys values (?, ?, ?, ?, 'undefined', null)", (layer.crs or "", srs, organization, srs))
         db.execute("insert into gpkg_contents (table_name, data_type, identifier, srs_id) values (?, 'features', ?, ?)", (name, name, srs))
         db.execute("insert into gpkg_geometry_columns values (?, 'geometry', 'GEOMETRY', ?, 0, 0)", (name, srs))
         db.execute(f"create table {_quoted(name)} ({_quoted(pk)} integer primary key autoincrement, {', '.join(f'{_quoted(n)} ' + ('GEOMETRY' if n == 'geometry' else k) for n, k in kinds.items())})")
         insert = f"insert into {_quoted(name)} ({', '.join(map(_quoted, names))}) values ({', '.join('?' * len(names))})"
-        db.executemany(insert, (tuple(to_blob(v, srs) if n == "geometry" else bytes(v) if isinstance(v, bytearray) else v for n, v in zip(names, r, strict=True)) for r in rows.toLocalIterator()))
+        db.executemany(insert, (tuple(to_blob(v, srs) if n == "geometry" else bytes(v) if isinstance(v, bytearray) else v for n,
+            v in zip(names, r, strict=True)) for r in rows.toLocalIterator()))
         db.commit()
     os.replace(part, path)
 

@@ -30,7 +30,8 @@ def plain(rows):
 def test_round_trip(spark, tmp_path, kind, monkeypatch):
     for module in (vector, shapefile):
         monkeypatch.setattr(module, "ROWS_A_TASK", 4)  # 6 rows in two tasks
-    rows = spark.createDataFrame([(i, None if i == 2 else f"n'{i}", i / 8, i % 2 == 0, None if i == 3 else geom.line([(0.0, 0.0), (i, 1.0)])) for i in range(6)], "id long, name string, x double, even boolean, geometry binary")
+    rows = spark.createDataFrame([(i, None if i == 2 else f"n'{i}", i / 8, i % 2 == 0,
+        None if i == 3 else geom.line([(0.0, 0.0), (i, 1.0)])) for i in range(6)], "id long, name string, x double, even boolean, geometry binary")
     path = str(tmp_path / f"layer.{kind}")
     write_vector(Layer(rows, "EPSG:3857"), path, output_format=kind.upper())
     back = read_vector(spark, path)
@@ -62,8 +63,10 @@ def test_geopackage_of_another_writer(spark, tmp_path):
 def test_shapes_of_all_kinds(spark, tmp_path, kind):
     box = lambda x, w: [(x, 0.0), (x, w), (x + w, w), (x + w, 0.0), (x, 0.0)]
     of = {
-        "polygon": (geom.POLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]]]), "polygons": (geom.MULTIPOLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]], [np.array(box(20, 4))]]),
-        "lines": (geom.MULTILINE, [np.array([(0.0, 0.0), (1.0, 1.0)]), np.array([(5.0, 0.0), (6.0, 1.0), (7.0, 7.0)])]), "point": (geom.POINT, [np.array([3.0, 4.0])]), "points": (geom.MULTIPOINT, [np.array([3.0, 4.0]), np.array([5.0, 6.0])]),
+        "polygon": (geom.POLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]]]),
+            "polygons": (geom.MULTIPOLYGON, [[np.array(box(0, 9)), np.array(box(2, 3))[::-1]], [np.array(box(20, 4))]]),
+        "lines": (geom.MULTILINE, [np.array([(0.0, 0.0), (1.0, 1.0)]), np.array([(5.0, 0.0), (6.0, 1.0), (7.0, 7.0)])]),
+            "point": (geom.POINT, [np.array([3.0, 4.0])]), "points": (geom.MULTIPOINT, [np.array([3.0, 4.0]), np.array([5.0, 6.0])]),
     }
     for name, shape in of.items():
         path = str(tmp_path / f"{name}.{kind}")
@@ -105,13 +108,15 @@ def test_commands(spark, tmp_path, capsys):
     cat, seg = network(spark)
     write_vector(Layer(cat, "EPSG:3857"), str(tmp_path / "c.gpkg"), output_format="gpkg")
     write_vector(Layer(seg, "EPSG:3857"), str(tmp_path / "s.gpkg"), output_format="gpkg")
-    base = ["define-roi", "--catchments", str(tmp_path / "c.gpkg"), "--segments", str(tmp_path / "s.gpkg"), "--destine-crs", "EPSG:3857", "--output-dir", str(tmp_path / "roi"), "--output-format", "gpkg"]
+    base = ["define-roi", "--catchments", str(tmp_path / "c.gpkg"), "--segments", str(tmp_path / "s.gpkg"), "--destine-crs", "EPSG:3857",
+        "--output-dir", str(tmp_path / "roi"), "--output-format", "gpkg"]
     assert cli.main([*base, "--outlet-id", "1"], spark) == 0
     roi = {n: read_vector(spark, str(tmp_path / "roi" / f"roi_{n}.gpkg")) for n in ("catchments", "segments")}
     for layer in roi.values():
         assert tuple(layer.rows.columns) == LAYER and layer.crs == "EPSG:3857"
         assert {r["id"]: r["upstream_length"] for r in layer.rows.collect()} == {1: 15.0, 2: 5.0, 3: 3.0, 4: 9.0, 5: 5.0}
-    mini = ["aggregate", "--roi-catchments", str(tmp_path / "roi/roi_catchments.gpkg"), "--roi-segments", str(tmp_path / "roi/roi_segments.gpkg"), "--output-dir", str(tmp_path / "mini"), "--output-format", "gpkg", "--lmin", "0", "--uparea-min"]
+    mini = ["aggregate", "--roi-catchments", str(tmp_path / "roi/roi_catchments.gpkg"), "--roi-segments",
+        str(tmp_path / "roi/roi_segments.gpkg"), "--output-dir", str(tmp_path / "mini"), "--output-format", "gpkg", "--lmin", "0", "--uparea-min"]
     assert cli.main([*mini, "0"], spark) == 0
     mapping = read_vector(spark, str(tmp_path / "mini" / "bho2mini.gpkg")).rows
     assert mapping.columns == ["id", "mini_id", "sub", "geometry"] and {r["id"] for r in mapping.collect()} == {1, 2, 3, 4, 5}

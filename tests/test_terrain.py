@@ -127,7 +127,8 @@ def test_basin_edges_against_a_plain_model(spark):
         held = {(r, c): float(v) for r, line in enumerate(z) for c, v in enumerate(line)}
         code = {a: k or 0 for a, k in plain.natural(held, set(), 10.0, 10.0).items()}
         directed = spark.createDataFrame([(*a, 0, held[a], k) for a, k in code.items()], "row int, col int, label int, z double, code int")
-        got = {(r["source"], r["target"]): (r["cut_max"], r["cut_sum"], r["length"], (r["orow"], r["ocol"]), (r["drow"], r["dcol"])) for r in cells.basin_edges(directed, 10.0, 10.0).collect()}
+        got = {(r["source"], r["target"]): (r["cut_max"], r["cut_sum"], r["length"], (r["orow"], r["ocol"]),
+            (r["drow"], r["dcol"])) for r in cells.basin_edges(directed, 10.0, 10.0).collect()}
         want, _ = plain.edges(held, code, 10.0, 10.0)
         assert got.keys() == want.keys() and all(got[k][:3] == pytest.approx(want[k][:3]) and got[k][3:] == want[k][3:] for k in want)
 
@@ -228,7 +229,8 @@ def test_grids_of_other_writers(spark, tmp_path):
 
 def ground(spark, folder, z, system="EPSG:31983"):
     cells_ = spark.createDataFrame([(r, c, float(v)) for r, line in enumerate(z) for c, v in enumerate(line) if v is not None], "row int, col int, z double")
-    geotiff.write_grid(cells_, "z", f"{folder}/dem.tif", width=len(z[0]), height=len(z), transform=(0.0, 10.0, 0.0, 10.0 * len(z), 0.0, -10.0), crs=system, dtype="float32", nodata=-9999.0)
+    geotiff.write_grid(cells_, "z", f"{folder}/dem.tif", width=len(z[0]), height=len(z),
+        transform=(0.0, 10.0, 0.0, 10.0 * len(z), 0.0, -10.0), crs=system, dtype="float32", nodata=-9999.0)
     return f"{folder}/dem.tif"
 
 
@@ -281,8 +283,10 @@ def test_terrain_validation(spark, tmp_path):
     twice = layers(spark, {1: (0, 0, 20, 30), 2: (15, 0, 15, 30)}, {1: [(5, 2), (5, 28)], 2: [(25, 2), (25, 28)]})
     beyond = layers(spark, {1: (0, 0, 40, 30)}, {1: [(25, 2), (25, 28)]})
     for c, s, says in (
-        (Layer(cat.rows, None), seg, "no CRS"), (cat, Layer(seg.rows.drop("id"), seg.crs), "no 'id'"), (cat, Layer(seg.rows.withColumn("id", seg.rows["id"] + 1), seg.crs), "do not match"),
-        (Layer(seg.rows, seg.crs), seg, "does not fit"), (Layer(cat.rows.union(cat.rows), cat.crs), seg, "unique"), (Layer(cat.rows.limit(0), cat.crs), seg, "empty geometry"), (*twice, "overlaps"), (*beyond, "does not cover"),
+        (Layer(cat.rows, None), seg, "no CRS"), (cat, Layer(seg.rows.drop("id"), seg.crs), "no 'id'"),
+            (cat, Layer(seg.rows.withColumn("id", seg.rows["id"] + 1), seg.crs), "do not match"),
+        (Layer(seg.rows, seg.crs), seg, "does not fit"), (Layer(cat.rows.union(cat.rows), cat.crs), seg, "unique"),
+            (Layer(cat.rows.limit(0), cat.crs), seg, "empty geometry"), (*twice, "overlaps"), (*beyond, "does not cover"),
     ):
         with pytest.raises(TerrainProductsError, match=says):
             run(c, s)
