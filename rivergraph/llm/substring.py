@@ -5,13 +5,13 @@ windows have equal anchors, so only windows whose anchor recurs can recur.
 
 1. Each document is read once for its anchors, about one for every 14 words. Documents of equal words are one text from
    then on: if it has a window, all of it recurs. Anchors are counted over texts (combined before the exchange).
-2. Recurring anchors are routed to the texts that hold them. A task compiles the recurring phrases of a shard of
-   documents into an Aho-Corasick automaton and streams those documents through it, locating every occurrence; windows
-   anchored at an occurrence are candidates. Automata are bounded by the shard's text.
-3. Candidates are confirmed by counting 128-bit window hashes, again combined before the exchange. Where a window turns
-   out to be alone, the count carries its only position back: these few rows, not the recurring windows, return.
-4. Texts with recurring anchors stream through their automata once more; words under candidates that were not found alone
-   go. Documents without recurring anchors are not read again.
+2. Passages are confirmed. In texts with recurring anchors, windows with such an anchor are counted by 128-bit hashes, again
+   combined before the exchange. The count carries one place of each window back: where the window is alone, so that
+   its text leaves it alone; where it recurs, so that the phrase at its anchor is read there, once for all its places.
+3. The phrases of confirmed passages are routed to the texts that have their anchors. A task compiles the phrases that a
+   shard of texts may hold into one Aho-Corasick automaton and streams those texts through it, which locates every
+   occurrence: the task knows no place of a phrase but those that the automaton reports. Words under windows that are
+   anchored at a report, and were not alone, go. Automata are bounded by the shard's text, whatever the corpus holds.
 
 No step gathers the occurrences of one passage, so a passage in a third of all documents costs what its text costs.
 
@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, stored, table
+from .common import keyed, small_batches, stored, table
 from .quality import words_of
 
 N, K = 35, 8
 #: Characters of text whose phrases share an automaton.
 SHARD_CHARS = 4_000_000
+#: The hashes of texts that occur more than once are broadcast up to so many (about 100 bytes each).
+BROADCAST_KEYS = 500_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -109,7 +111,8 @@ def _anchor_rows(n: int, k: int):
                 hs.append(used.view(np.int64))
                 twice.append(times > 1)
             kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), *(pa.array(x, t) for x, t in zip((counts, sha, hs, twice), kinds, strict=True))], names=["doc_id", "tkey", "n_words", "sha", "hs", "twice"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"),
+                *(pa.array(x, t) for x, t in zip((counts, sha, hs, twice), kinds, strict=True))], names=["doc_id", "tkey", "n_words", "sha", "hs", "twice"])
 
     return run
 
@@ -119,41 +122,24 @@ def _sha(words: list[str]) -> str:
 
 
 class Located:
-    """Candidate windows of a shard of documents, located by one automaton over its recurring phrases."""
+    """Occurrences of phrases, by one automaton."""
 
-    def __init__(self, texts: list[str], recurring: list[list[int]], n: int, k: int, hashes: WordHashes):
+    def __init__(self, phrases: set[str], k: int):
         import ahocorasick
 
-        self.n, self.docs, phrases = n, [], {}
-        for text, found in zip(texts, recurring, strict=True):
-            words = words_of(text)
-            h = hashes.of(words)
-            phrase, low = anchors(h, n, k)
-            wanted = np.array(found, np.int64).view(np.uint64)
-            for i in np.flatnonzero(np.isin(phrase, wanted)).tolist():
-                phrases.setdefault(" " + " ".join(words[i : i + k]) + " ", int(phrase[i]))
-            self.docs.append((words, h, phrase, low))
-        automaton = ahocorasick.Automaton()
-        for text, value in phrases.items():
-            automaton.add_word(text, value)
+        self.automaton, self.k = ahocorasick.Automaton(), k
+        for text in phrases:
+            self.automaton.add_word(f" {text} ", 0)
         if phrases:
-            automaton.make_automaton()
-        self.automaton, self.k = automaton, k
-
-    def windows(self) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """Words, their hashes and the starts of candidate windows, document by document."""
-        for words, h, phrase, low in self.docs:
-            starts = np.zeros(0, np.int64)
-            if len(low) and len(self.automaton):
-                joined = " " + " ".join(words) + " "
-                lasts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the space after each word
-                ends = np.fromiter((e for e, _ in self.automaton.iter(joined)), np.int64)
-                at = np.searchsorted(lasts, ends) - (self.k - 1)
-                located = np.zeros(len(phrase), bool)
-                located[at] = True
-                known = np.unique(phrase[located])
-                starts = np.flatnonzero(np.isin(low, known))
-            yield words, h, starts
+            self.automaton.make_automaton()
+
+    def starts(self, words: list[str]) -> np.ndarray:
+        """The words at which phrases begin."""
+        if len(words) < self.k or not len(self.automaton):
+            return np.zeros(0, np.int64)
+        lasts = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # the space after each word
+        ends = np.fromiter((e for e, _ in self.automaton.iter(f" {' '.join(words)} ")), np.int64)
+        return np.searchsorted(lasts, ends) - (self.k - 1)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list]]:
@@ -174,16 +160,21 @@ def _shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterat
 
 
 def _candidate_rows(n: int, k: int):
+    """row, w1, w2, at of windows whose anchor is among the row's recurring ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for held in _shards(batches, ("row", "text", "hs")):
-            cols: list[list] = [[], [], [], []]
-            size = 0
+        cols: list[list] = [[], [], [], []]
+        size = 0
 
-            def out() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["row", "w1", "w2", "at"])
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["row", "w1", "w2", "at"])
 
-            for row, (_, h, starts) in zip(held["row"], Located(held["text"], held["hs"], n, k, hashes).windows(), strict=True):
+        for b in batches:
+            for row, text, hs in zip(*(b.column(c).to_pylist() for c in ("row", "text", "hs")), strict=True):
+                h = hashes.of(words_of(text))
+                _, low = anchors(h, n, k)
+                starts = np.flatnonzero(np.isin(low, np.array(hs, np.int64).view(np.uint64)))
                 if not len(starts):
                     continue
                 with np.errstate(over="ignore"):
@@ -194,8 +185,25 @@ def _candidate_rows(n: int, k: int):
                 if size > 200_000:
                     yield out()
                     cols, size = [[], [], [], []], 0
-            if size:
-                yield out()
+        if size:
+            yield out()
+
+    return run
+
+
+def _phrase_rows(n: int, k: int):
+    """h, phrase: the phrases at the anchors of the windows that begin at `starts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            found: dict[int, str] = {}
+            for text, starts in zip(b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
+                words = words_of(text)
+                phrase, low = anchors(hashes.of(words), n, k)
+                for i in np.flatnonzero(np.isin(phrase, low[np.array(starts, np.int64)])).tolist():
+                    found.setdefault(int(phrase[i].view(np.int64)), " ".join(words[i : i + k]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["h", "phrase"])
 
     return run
 
@@ -212,9 +220,15 @@ def removed_mask(count: int, starts: np.ndarray, alone: list[int], n: int) -> np
 def _cleaned(n: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for held in _shards(batches, ("row", "text", "hs", "alone")):
+        for held in _shards(batches, ("row", "text", "phrases", "alone")):
             gone, sha, spans = [], [], []
-            for (words, _, starts), alone in zip(Located(held["text"], held["hs"], n, k, hashes).windows(), held["alone"], strict=True):
+            located = Located({p for own in held["phrases"] for p in own}, k)
+            for text, alone in zip(held["text"], held["alone"], strict=True):
+                words = words_of(text)
+                phrase, low = anchors(hashes.of(words), n, k)
+                reported = located.starts(words)
+                # a window is anchored at a report if the least phrase in it is one that the automaton found there
+                starts = np.flatnonzero(np.isin(low, phrase[reported])) if len(reported) else reported
                 mask = removed_mask(len(words), starts, alone or [], n)
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
                 gone.append(int(mask.sum()))
@@ -229,27 +243,35 @@ def _cleaned(n: int, k: int):
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N, k: int = K) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (of the words that stay, joined by a space), spans
     (disjoint [from, to) of the words that go)."""
+    small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
     read = base.mapInArrow(_anchor_rows(n, k), "doc_id long, tkey long, n_words long, sha string, hs array<long>, twice array<boolean>")
     rows = stored(read.withColumn("row", F.monotonically_increasing_id()))
-    copies = rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("row").alias("first"))
-    known = stored(rows.select("row", "sha").join(copies, "sha").select("row", "copies", (F.col("row") == F.col("first")).alias("leads")))
-    leads = known.where("leads").select("row", "copies")
-    held = rows.join(leads, "row").select("row", F.explode(F.arrays_zip("hs", "twice")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.twice").alias("twice"))
+    # what equal texts there are comes from an aggregation; only their keys are joined back
+    leads = stored(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("row").alias("row")))
+    several = leads.where("copies > 1").select(F.col("sha").alias("_sha"), "copies")
+    several = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+    held = rows.join(leads.select("row"), "row", "left_semi").select("row", F.explode(F.arrays_zip("hs", "twice")).alias("x")).select("row",
+        F.col("x.hs").alias("h"), F.col("x.twice").alias("twice"))
     recurring = held.groupBy("h").agg(F.count("*").alias("texts"), F.bool_or("twice").alias("twice")).where("texts > 1 or twice").select("h")
-    routed = held.select("row", "h").join(recurring, "h").groupBy("row").agg(F.collect_set("h").alias("hs"))
-    routed = rows.select("row", "doc_id", "tkey").join(routed, "row").join(leads, "row").withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
+    anchored = stored(held.select("row", "h").join(recurring, "h"))
+    routed = anchored.groupBy("row").agg(F.collect_list("h").alias("hs"))
+    routed = rows.select("row", "doc_id", "tkey").join(routed, "row").join(leads.select("row", "copies"), "row").withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
     # rows that are the same in id and text led as one; only one of them need be read
     busy = stored(base.join(routed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_tkey"))).select("row", "text", "hs", "copies"))
     windows = busy.select("row", "text", "hs").mapInArrow(_candidate_rows(n, k), "row long, w1 long, w2 long, at int")
-    counted = windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("p"))
-    alone = counted.where("n = 1").groupBy(F.col("p.row").alias("row")).agg(F.collect_list("p.at").alias("alone"))
-    single = busy.where("copies = 1").select("row", "text", "hs").join(alone, "row", "left").select("row", "text", "hs", "alone")
+    counted = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at")).alias("p")).select((F.col("n") == 1).alias("alone"), "p.row", "p.at"))
+    alone = counted.where("alone").groupBy("row").agg(F.collect_list("at").alias("alone"))
+    sources = counted.where("not alone").groupBy("row").agg(F.collect_list("at").alias("starts"))
+    phrases = busy.select("row", "text").join(sources, "row").select("text", "starts").mapInArrow(_phrase_rows(n, k), "h long, phrase string").distinct()
+    single = busy.where("copies = 1").select("row", "text")
+    wanted = anchored.join(phrases, "h").groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
+    single = single.join(wanted, "row").join(alone, "row", "left").select("row", "text", "phrases", "alone")
     cleaned = single.mapInArrow(_cleaned(n, k), "row long, gone long, left string, cut array<struct<from: long, to: long>>")
-    whole = (F.col("copies") > 1) & (F.col("n_words") >= n)
+    whole = F.col("copies").isNotNull() & (F.col("n_words") >= n)
     all_words = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))
     none = F.array().cast("array<struct<from: long, to: long>>")
-    told = rows.select("row", "doc_id", "n_words", "sha").join(known.select("row", "copies"), "row").join(cleaned, "row", "left")
+    told = rows.select("row", "doc_id", "n_words", "sha").join(several, F.col("sha") == F.col("_sha"), "left").join(cleaned, "row", "left")
     return told.select(
         "doc_id",
         "n_words",
