@@ -65,21 +65,24 @@ def subtree_fold(nodes: DataFrame, gather: dict[str, Callable[[Column], Column]]
     """Each value becomes the fold over its node and everything upstream. gather: the aggregate over children's values,
     which takes them in any order and in parts."""
     names = list(combine)
-    fold = lambda: [F.when(F.col("_to").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names]
-    told_by = lambda df: df.groupBy(F.col("p").alias("_to")).agg(*(gather[n](F.col(n)).alias(f"_{n}") for n in names))
-    now = stored(nodes.select("id", "p", *names))
+
+    def folded() -> list[Column]:
+        return [F.when(F.col("_to").isNull(), F.col(n)).otherwise(combine[n](F.col(n), F.col(f"_{n}"))).alias(n) for n in names]
+
+    now = stored(nodes.select("id", "p", *names, F.lit(False).alias("late")))
     ended, late, rounds = [now.where("p is null")], [], _Rounds(now)
     while not _open(now).isEmpty():
         if rounds.over():
             raise TopologyCycleError("the network has a cycle")
-        told = told_by(_open(now))
-        # nodes whose way has ended are told at the end, of all rounds together
-        ids = _open(now).select(F.col("id").alias("_open"))
-        late.append(told.join(ids, F.col("_to") == F.col("_open"), "left_anti"))
+        told = _open(now).groupBy(F.col("p").alias("_to")).agg(*(gather[n](F.col(n)).alias(f"_{n}") for n in names))
         jump = _open(now).select(F.col("id").alias("_id"), F.col("p").alias("_p"))
-        joined = _open(now).join(told, F.col("id") == F.col("_to"), "left").join(jump, F.col("p") == F.col("_id"), "left")
-        now = stored(joined.select("id", F.col("_p").alias("p"), *fold()))
-        ended.append(now.where("p is null"))
+        # what is told of nodes whose way has ended is written beside the others, and counts at the end
+        joined = _open(now).join(told, F.col("id") == F.col("_to"), "full").join(jump, F.col("p") == F.col("_id"), "left")
+        gone = F.col("id").isNull()
+        values = [F.when(gone, F.col(f"_{n}")).otherwise(v).alias(n) for n, v in zip(names, folded(), strict=True)]
+        now = stored(joined.select(F.coalesce("id", "_to").alias("id"), F.col("_p").alias("p"), *values, gone.alias("late")))
+        ended.append(now.where("p is null and not late"))
+        late.append(now.where("late"))
     out = ended[0]
     for part in ended[1:]:
         out = out.unionByName(part)
@@ -87,9 +90,8 @@ def subtree_fold(nodes: DataFrame, gather: dict[str, Callable[[Column], Column]]
         every = late[0]
         for part in late[1:]:
             every = every.unionByName(part)
-        told = every.groupBy("_to").agg(*(gather[n](F.col(f"_{n}")).alias(f"_{n}") for n in names))
-        out = out.join(told, F.col("id") == F.col("_to"), "left")
-        out = out.select("id", *fold())
+        told = every.groupBy(F.col("id").alias("_to")).agg(*(gather[n](F.col(n)).alias(f"_{n}") for n in names))
+        out = out.join(told, F.col("id") == F.col("_to"), "left").select("id", *folded())
     return out.select("id", *names)
 
 
