@@ -56,7 +56,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_
     """One row per row of docs: doc_id, tkey (hash of the text), n_words, n_hit, spans (sorted, disjoint [from, to) of
     words that are hit), items (ids of the items whose windows occur, sorted as strings)."""
     grams = benchmark_grams(benchmark, n=n)
-    size = grams.agg(F.count("*").alias("n"), F.sum(F.length("gram") + F.length(F.array_join("items", ","))).alias("bytes"), F.sort_array(F.collect_set("len")).alias("lens")).first()
+    size = grams.agg(F.count("*").alias("n"), F.sum(F.length("gram") + F.length(F.array_join("items", ","))).alias("bytes"),
+        F.sort_array(F.collect_set("len")).alias("lens")).first()
     bits = min(1 << 26, max(1 << 12, 1 << (64 * size["n"]).bit_length()))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_key(text_col).alias("tkey"), words(F.col(text_col)).alias("w"))
     none = F.array().cast("array<struct<i:int,len:int,gram:string>>")
@@ -89,7 +90,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_
     )
     start = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["to"], x["to"]).alias("to"), (a["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(a["to"], x["from"]))).alias("n"))
-    return found.select("doc_id", "tkey", "n_words", F.aggregate("raw", start, step, lambda a: a["n"]).alias("n_hit"), F.col("raw").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return found.select("doc_id", "tkey", "n_words", F.aggregate("raw", start, step, lambda a: a["n"]).alias("n_hit"),
+        F.col("raw").alias("spans"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
 
 
 def contaminated() -> Column:
@@ -107,7 +109,8 @@ def without_spans(text: Column, spans: Column) -> Column:
     hit = F.flatten(F.transform(spans, lambda s: F.sequence(s["from"], s["to"] - 1)))
     kept = lambda pieces: F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), hit)
     # the pieces are bound to a name: inside the inner lambda the expression itself would run once a word
-    return _with(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda pieces: F.when(F.size(pieces) > 0, F.array_join(F.transform(kept(pieces), lambda i: F.get(pieces, i)), "")).otherwise(F.lit("")))
+    return _with(F.regexp_extract_all(text, F.lit(token), F.lit(0)),
+        lambda pieces: F.when(F.size(pieces) > 0, F.array_join(F.transform(kept(pieces), lambda i: F.get(pieces, i)), "")).otherwise(F.lit("")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -116,10 +119,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_col:
     if it is there. What was found is broadcast while it measures at most broadcast_bytes, else joined by shuffle."""
     found = find_contamination(docs, benchmark, n=n, id_col=id_col, text_col=text_col).where("n_hit > 0")
     # a contaminated row needs no spans
-    found = stored(found.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), contaminated().alias("bad"), F.when(~contaminated(), F.col("spans")).alias("spans")).dropDuplicates(["id", "key"]))
+    found = stored(found.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), contaminated().alias("bad"),
+        F.when(~contaminated(), F.col("spans")).alias("spans")).dropDuplicates(["id", "key"]))
     size = found.agg(F.sum(64 + 16 * F.greatest(F.size("spans"), F.lit(0)))).first()[0] or 0
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), text_key(F.col(text_col).cast("string")).alias("row_key"))
-    joined = rows.join(F.broadcast(found) if size <= broadcast_bytes else found, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left").where(~F.coalesce("bad", F.lit(False)))
+    joined = rows.join(F.broadcast(found) if size <= broadcast_bytes else found,
+        F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_key") == F.col("key")), "left").where(~F.coalesce("bad", F.lit(False)))
     text = F.col("row").getField(text_col)
     cut = joined.withColumn("cut", F.when(F.col("spans").isNotNull(), without_spans(text, F.col("spans"))).otherwise(text))
 
@@ -134,7 +139,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = N, id_col:
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 _SQL_WORDS = f"list_filter(string_split(translate(coalesce(text, ''), '{UPPER}' || list_aggregate(list_transform(c, lambda x: chr(x)), 'string_agg', ''), '{LOWER}' || repeat(' ', len(c))), ' '), lambda x: x <> '')"
@@ -142,7 +148,8 @@ ORACLE = f"""
 with k as (select list_filter(range(1, 128), lambda x: not (x between 48 and 57 or x between 65 and 90 or x between 97 and 122))::int[] c),
 d as (select row_number() over () rid, doc_id, {_SQL_WORDS} w from documents, k),
 b as (select item_id::varchar item, {_SQL_WORDS} w from benchmark, k),
-g as (select distinct item, least(len(w), {N}) l, unnest(list_transform(range(1, len(w) - least(len(w), {N}) + 2), lambda i: array_to_string(w[i:i + least(len(w), {N}) - 1], ' '))) gram from b where len(w) > 0),
+g as (select distinct item, least(len(w), {N}) l, unnest(list_transform(range(1, len(w) - least(len(w), {N}) + 2), lambda i: array_to_string(w[i:i + least(len(w), {N}) - 1], ' '))) gram
+  from b where len(w) > 0),
 s as (select rid, i, l, array_to_string(w[i:i + l - 1], ' ') gram from (select rid, w, l, unnest(range(1, len(w) - l + 2)) i from d, (select distinct l from g))),
 h as (select rid, i, s.l, item from s join g on s.gram = g.gram and s.l = g.l),
 p as (select rid, count(distinct x) n from (select rid, unnest(range(i, i + l)) x from h) group by rid),

@@ -32,7 +32,8 @@ def size_of(text: Column) -> Column:
 
 def sizes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"), F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("h"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        size_of(F.col(text_col).cast("string")).alias("size"), F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("h"))
 
 
 def targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -46,7 +47,8 @@ def targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int =
     per = per.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     per = per.withColumn("heavy", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))).withColumn("n", F.row_number().over(order))
     per = per.withColumn("free", F.min(F.when(F.col("left") * F.col("w") < F.col("cap") * F.col("heavy"), F.struct("n", "left", "heavy"))).over(all_))
-    target = F.when(F.col("n") < F.coalesce(F.col("free.n"), F.lit(1 << 30)), F.col("cap").cast("double")).otherwise((F.col("free.left") * F.col("w")).cast("double") / F.col("free.heavy"))
+    target = F.when(F.col("n") < F.coalesce(F.col("free.n"), F.lit(1 << 30)),
+        F.col("cap").cast("double")).otherwise((F.col("free.left") * F.col("w")).cast("double") / F.col("free.heavy"))
     return per.select("source", "source_size", target.alias("target"))
 
 
@@ -87,9 +89,12 @@ def _mixed(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     goal = stored(goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     hint = F.broadcast if goal.count() <= BROADCAST_SOURCES else (lambda x: x)
     cuts = _thresholds(sized, goal.where("rest > 0"), hint)
-    plan = goal.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select(F.col("g.source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << BITS) - 1)).otherwise(F.lit(-1))).alias("cut"))
+    plan = goal.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")),
+        "left").select(F.col("g.source").alias("s"), "source_size", "target", "whole",
+        F.coalesce("cut", F.when(F.col("rest") > 0, F.lit((1 << BITS) - 1)).otherwise(F.lit(-1))).alias("cut"))
     times = F.col("whole") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return sized.join(hint(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    return sized.join(hint(plan), F.col("source").eqNullSafe(F.col("s"))).withColumn("times", times).select("doc_id", "source", "size",
+        "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -112,10 +117,12 @@ o as (select *, {MOST} * source_size cap, sum(source_size) over () total from p)
 f as (select *, row_number() over q n, total - coalesce(sum(cap) over (q rows between unbounded preceding and 1 preceding), 0) rem,
   sum(w) over (q rows between current row and unbounded following) heavy from o window q as (order by cap / w, source nulls last)),
 e as (select *, min(n) filter (rem * w < cap * heavy) over () fn from f),
-t as (select source, source_size, case when n < coalesce(fn, 1000000000) then cap::double else (max(rem) filter (n = fn) over () * w)::double / (max(heavy) filter (n = fn) over ())::double end target from e),
+t as (select source, source_size, case
+  when n < coalesce(fn, 1000000000) then cap::double else (max(rem) filter (n = fn) over () * w)::double / (max(heavy) filter (n = fn) over ())::double end target from e),
 a as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end whole from t),
 r as (select *, target - whole * source_size rest from a),
 c as (select z.*, r.source_size, r.target, r.whole, r.rest, sum(size) over (partition by z.source order by h range between unbounded preceding and current row) upto,
   sum(size) over (partition by z.source, h) same from z join r on z.source is not distinct from r.source)
-select doc_id, size, source_size::bigint source_size, target, (size * (whole + case when rest > 0 and (upto <= rest or (upto - same <= rest and upto - rest < rest - (upto - same))) then 1 else 0 end))::bigint taken from c
+select doc_id, size, source_size::bigint source_size, target, (size * (whole + case when rest > 0 and (upto <= rest or (upto - same <= rest
+  and upto - rest < rest - (upto - same))) then 1 else 0 end))::bigint taken from c
 """

@@ -132,7 +132,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63) if raw else None)
             k2.append(xxhash.xxh64_intdigest(raw) - (1 << 63) if raw else None)
             sketches.append(sketch(labelled_kmers(h)) if raw else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "tkey", "k1", "k2", "sk"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tkey"), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+            pa.array(sketches, pa.list_(pa.int32()))], names=["doc_id", "tkey", "k1", "k2", "sk"])
 
 
 def kmer_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -236,7 +237,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each (lead, id) with their texts: near; k-mers of id and of lead; how many they share; which of lead's (sorted)
     k-mers id has, as a bitmap; id's others."""
     read = _Read(_Words())
-    kinds = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("near", pa.bool_()), ("size", pa.int64()), ("lead_size", pa.int64()), ("shared", pa.int64()), ("held", pa.list_(pa.int64())), ("other", pa.list_(pa.int64()))])
+    kinds = pa.schema([("lead", pa.int64()), ("id", pa.int64()), ("near", pa.bool_()), ("size", pa.int64()), ("lead_size", pa.int64()),
+        ("shared", pa.int64()), ("held", pa.list_(pa.int64())), ("other", pa.list_(pa.int64()))])
     rows: list[tuple] = []
     weight = 0
     for b in batches:
@@ -266,7 +268,8 @@ def _near_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct edges (a > b) between what names (id, class) calls their ends; ends that it lacks stay."""
     one, two = names.select(F.col("id").alias("_i"), F.col("class").alias("_x")), names.select(F.col("id").alias("_j"), F.col("class").alias("_y"))
-    ends = edges.join(one, F.col("a") == F.col("_i"), "left").join(two, F.col("b") == F.col("_j"), "left").select(F.coalesce("_x", "a").alias("x"), F.coalesce("_y", "b").alias("y"))
+    ends = edges.join(one, F.col("a") == F.col("_i"), "left").join(two, F.col("b") == F.col("_j"),
+        "left").select(F.coalesce("_x", "a").alias("x"), F.coalesce("_y", "b").alias("y"))
     return ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -336,7 +339,8 @@ def may_be_near(met: DataFrame, labels: DataFrame) -> DataFrame:
     at = F.explode(F.sequence(far(F.col("shared") - reach), far(F.col("shared") + reach))).alias("at")
     carried = ("class", "need", "size", "shared", "held", "other")
     one = known.where(F.col("out")).where(reach >= 0).select(F.col("lead").alias("l"), F.col("id").alias("x"), *(F.col(c).alias(f"x_{c}") for c in carried), at)
-    two = known.select("lead", F.col("id").alias("y"), F.col("out").alias("y_out"), *(F.col(c).alias(f"y_{c}") for c in carried), F.floor(F.col("shared") / F.col("step")).alias("y_at"))
+    two = known.select("lead", F.col("id").alias("y"), F.col("out").alias("y_out"), *(F.col(c).alias(f"y_{c}") for c in carried),
+        F.floor(F.col("shared") / F.col("step")).alias("y_at"))
     same = (F.col("l") == F.col("lead")) & (F.col("at") == F.col("y_at")) & (F.col("x_class") != F.col("y_class")) & (~F.col("y_out") | (F.col("x") < F.col("y")))
     cheap = F.col("x_need") + F.col("y_need") + F.abs(F.col("x_shared") - F.col("y_shared")) <= 1e-6
     differ = F.aggregate(F.zip_with("x_held", "y_held", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
@@ -368,12 +372,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     again = stored(may_be_near(met, labels))
     late = with_texts(again, texts).mapInArrow(_near_only, "a long, b long")
     labels = components(stored(late), labels)
-    named = nodes.join(labels.select(F.col("id").alias("_id"), "class"), F.col("id") == F.col("_id"), "left").select("k1", "k2", "rep", "rep_key", F.coalesce("class", "id").alias("class"))
+    named = nodes.join(labels.select(F.col("id").alias("_id"), "class"), F.col("id") == F.col("_id"), "left").select("k1", "k2", "rep",
+        "rep_key", F.coalesce("class", "id").alias("class"))
     least = named.groupBy("class").agg(F.min(F.struct("rep", "rep_key")).alias("m")).select(F.col("class").alias("_class"), "m")
     told = named.join(least, F.col("class") == F.col("_class")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "m")
     of_row = rows.select("doc_id", "tkey", "k1", "k2").join(told, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")) & F.col("doc_id").isNotNull(), "left")
     lone = F.col("m").isNull()
-    return of_row.select("doc_id", "tkey", F.coalesce("m.rep", "doc_id").alias("class_id"), (lone | ((F.col("doc_id") == F.col("m.rep")) & (F.col("tkey") == F.col("m.rep_key")))).alias("first"), F.col("k1").isNotNull().alias("words"))
+    return of_row.select("doc_id", "tkey", F.coalesce("m.rep", "doc_id").alias("class_id"),
+        (lone | ((F.col("doc_id") == F.col("m.rep")) & (F.col("tkey") == F.col("m.rep_key")))).alias("first"), F.col("k1").isNotNull().alias("words"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,7 +392,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     both the one whose columns hash least. Documents without words and rows with a null doc_id stay, all of them."""
     of = stored(classes(docs, id_col=id_col, text_col=text_col))
     gone = stored(of.where("not first").select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct())
-    twice = stored(of.where("first and words and doc_id is not null").groupBy(F.col("doc_id").alias("_twice_id"), F.col("tkey").alias("_twice_key")).agg(F.count("*").alias("n")).where("n > 1"))
+    twice = stored(of.where("first and words and doc_id is not null").groupBy(F.col("doc_id").alias("_twice_id"),
+        F.col("tkey").alias("_twice_key")).agg(F.count("*").alias("n")).where("n > 1"))
     hint = F.broadcast if gone.count() <= BROADCAST_KEYS else (lambda x: x)
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col).cast("string")).alias("key"))
     kept = rows.join(hint(gone), (F.col("id") == F.col("_gone_id")) & (F.col("key") == F.col("_gone_key")), "left_anti")

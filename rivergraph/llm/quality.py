@@ -23,8 +23,10 @@ from .common import table
 
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
-    "all rights reserved", "copyright", "cookie policy", "accept cookies", "uses cookies", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled",
-    "licensed under", "released under", "subscribe to our newsletter", "sign up for our newsletter", "click here", "skip to content", "back to top", "lorem ipsum", "share on facebook", "follow us on",
+    "all rights reserved", "copyright", "cookie policy", "accept cookies", "uses cookies", "privacy policy", "terms of use",
+        "terms of service", "enable javascript", "javascript is disabled",
+    "licensed under", "released under", "subscribe to our newsletter", "sign up for our newsletter", "click here", "skip to content",
+        "back to top", "lorem ipsum", "share on facebook", "follow us on",
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A document is rejected if failed lines hold more than this share of its characters in words.
@@ -105,7 +107,8 @@ def judge(text: str) -> dict:
     bad = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
     return {
         "n_words": len(words), "word_chars": chars, "n_symbols": len(_SYMBOL.findall(text)), "n_dup_lines": dup, "n_repeat_words": repeats, "base_failed": bad,
-        "kept": not bad and lost <= MAX_LOST * chars, "lost_chars": lost, "failed_lines": sum(rules.values()), "rules": ",".join(f"{k}:{v}" for k, v in sorted(rules.items())), "cleaned": "\n".join(kept),
+        "kept": not bad and lost <= MAX_LOST * chars, "lost_chars": lost, "failed_lines": sum(rules.values()),
+            "rules": ",".join(f"{k}:{v}" for k, v in sorted(rules.items())), "cleaned": "\n".join(kept),
     }
 
 
@@ -120,7 +123,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [judge(t) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), *(pa.array([r[k] for r in rows], {int: pa.int64(), bool: pa.bool_(), str: pa.string()}[type(rows[0][k])] if rows else pa.null()) for k in names[1:])]
+            cols = [b.column("doc_id"), *(pa.array([r[k] for r in rows],
+                {int: pa.int64(), bool: pa.bool_(), str: pa.string()}[type(rows[0][k])] if rows else pa.null()) for k in names[1:])]
             if rows:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -301,8 +301,10 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
         if writer is not None:
             writer.close()
             size = fs.get_file_info(f"{base}/{name}").size
-            row = {"file": f"{folder}/{name}", "first_id": first, "last_id": last, "n_docs": len(writer.doc_ids), "n_ids": writer.n_ids, "n_bytes": size, "part": context.partitionId()}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[t]) for k, t in (x.split() for x in _MANIFEST.split(", "))]))
+            row = {"file": f"{folder}/{name}", "first_id": first, "last_id": last, "n_docs": len(writer.doc_ids), "n_ids": writer.n_ids,
+                "n_bytes": size, "part": context.partitionId()}
+            yield pa.RecordBatch.from_pylist([row],
+                schema=pa.schema([(k, {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[t]) for k, t in (x.split() for x in _MANIFEST.split(", "))]))
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the beginning of the text parts rows that repeat a doc_id, or lack one, over as many files as they need
@@ -339,7 +341,8 @@ def read_tokens(manifest: DataFrame, ids: bool = False) -> DataFrame:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(rows[0])])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=False)],
+        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(rows[0])])
 
 
 def encode_and_read(docs: DataFrame) -> DataFrame:

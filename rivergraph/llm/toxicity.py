@@ -203,7 +203,8 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int = 100_000) -> Iterator
     counts: dict[str, list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())], names=["term", "pos", "neg"])
+        return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([v[0] for v in counts.values()], pa.int64()),
+            pa.array([v[1] for v in counts.values()], pa.int64())], names=["term", "pos", "neg"])
 
     for b in batches:
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
@@ -311,7 +312,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         classes = _Classes(model.lexicon)
         for b in batches:
             rows = [features(t, classes) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(r) for r in rows], pa.float64()), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "score", "matches"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([model.score(r) for r in rows], pa.float64()),
+                pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "score", "matches"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, "doc_id long, score double, matches array<double>")
