@@ -42,11 +42,10 @@ def terrain_command(spark: SparkSession, a: argparse.Namespace) -> None:
     )
     for path in filter(None, report.paths):
         print(f"Wrote {path}")
-    print(f"Cells: {report.owned_cells} owned, {report.drainage_cells} drainage; unreachable components: {report.unreachable_components}")
-    print(f"Timing: conditioning {report.conditioning_seconds:.3f}s, routing {report.routing_seconds:.3f}s, JIT/cache "
-        f"initialization {report.jit_compilation_seconds:.3f}s, raster I/O {report.raster_io_seconds:.3f}s")
-    some = f", range {report.negative_hand_min:g} to {report.negative_hand_max:g} m" if report.negative_hand_cells else ""
-    print(f"Negative HAND: {report.negative_hand_cells} cells{some}")
+    print(f"Cells owned: {report.owned_cells}; drainage: {report.drainage_cells}; parts not connected: {report.unreachable_components}")
+    print(f"Seconds: {report.raster_io_seconds:.3f} reading and writing, {report.conditioning_seconds:.3f} conditioning, {report.routing_seconds:.3f} routing")
+    some = f", from {report.negative_hand_min:g} to {report.negative_hand_max:g} m" if report.negative_hand_cells else ""
+    print(f"Cells below their drainage: {report.negative_hand_cells}{some}")
 
 
 def _write(layers, output_format: str) -> None:

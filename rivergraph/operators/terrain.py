@@ -53,24 +53,24 @@ def check_layers(catchments: Layer, segments: Layer, id_col: str) -> None:
     both, and no two catchments overlap."""
     for name, layer, kinds in (("catchments", catchments, (geom.POLYGON, geom.MULTIPOLYGON)), ("segments", segments, (geom.LINE, geom.MULTILINE))):
         if id_col not in layer.rows.columns:
-            raise TerrainProductsError(f"{name} has no {id_col!r} column")
+            raise TerrainProductsError(f"{name}: a column is missing, no {id_col!r}")
         if layer.crs is None:
-            raise TerrainProductsError(f"{name} has no CRS")
+            raise TerrainProductsError(f"{name}: the layer has no CRS")
         told = layer.rows.select(F.col(id_col).alias("id"), geom.kind_of("geometry").alias("kind"), geom.is_empty("geometry").alias("empty"))
         facts = told.agg(
             F.count("*").alias("n"), F.count_if(F.col("empty").isNull() | F.col("empty")).alias("empty"),
                 F.count_if(~F.col("kind").isin(*kinds)).alias("odd"), F.count_if(F.col("id").isNull()).alias("null"),
         ).first()
         if not facts["n"] or facts["empty"]:
-            raise TerrainProductsError(f"{name} contains missing or empty geometry")
+            raise TerrainProductsError(f"{name}: no rows, or some with a null or empty geometry")
         if facts["odd"]:
-            raise TerrainProductsError(f"{name} has {facts['odd']} geometries of a kind that does not fit")
+            raise TerrainProductsError(f"{name}: {facts['odd']} geometries of a kind that does not fit")
         if facts["null"] or not told.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            raise TerrainProductsError(f"{name} IDs must be non-null and unique")
+            raise TerrainProductsError(f"{name}: ids must be there and unique")
     if not unmatched_ids(catchments.rows, segments.rows, id_col).isEmpty():
-        raise TerrainProductsError("Catchment and segment IDs do not match")
+        raise TerrainProductsError("the ids of catchments and segments do not match")
     if not geom.overlapping(catchments.rows, id_col).isEmpty():
-        raise TerrainProductsError("Catchments have positive-area overlaps")
+        raise TerrainProductsError("some catchments have overlaps")
 
 
 def unmatched_ids(one: DataFrame, two: DataFrame, id_col: str = "id") -> DataFrame:
@@ -82,11 +82,11 @@ def unmatched_ids(one: DataFrame, two: DataFrame, id_col: str = "id") -> DataFra
 def check_grid(grid: geotiff.Grid) -> tuple[float, float]:
     """Width and height of a cell; raises unless the grid is in a projected system in metres and not turned."""
     if grid.crs is None:
-        raise TerrainProductsError("DEM has no CRS")
+        raise TerrainProductsError("the elevation grid has no CRS")
     if not grid.projected:
-        raise TerrainProductsError("DEM CRS must be projected")
+        raise TerrainProductsError("the elevation grid must be in a projected system")
     if not grid.metres:
-        raise TerrainProductsError("DEM CRS horizontal units must be metres")
+        raise TerrainProductsError("the elevation grid must be in metres")
     return pixel_sizes(grid.transform)
 
 
@@ -128,7 +128,7 @@ def create_terrain_products(
     bounds = tuple(geom.total_bounds(areas).first())
     left, bottom, right, top = grid.bounds
     if bounds[0] < left or bounds[1] < bottom or bounds[2] > right or bounds[3] > top:
-        raise TerrainProductsError("DEM does not cover the complete catchment ROI")
+        raise TerrainProductsError("the elevation grid does not cover all catchments")
     window = geotiff.window_of(grid, bounds)
     transform = geotiff.window_transform(grid, window)
     held = rasterised(areas, lines, transform, window)
@@ -144,8 +144,7 @@ def create_terrain_products(
     paths = terrain_paths(str(output_dir), write_flow_direction)
     Path(output_dir).mkdir(parents=True, exist_ok=True)
     notes = {
-        "routing": "terrain-driven basin routing with catchment-confined AGREE conditioning and targeted shallow breaching",
-            "agree_sharp": agree_sharp, "agree_smooth": agree_smooth,
+        "routing": "to drainage inside each catchment, AGREE-conditioned, depressions breached", "agree_sharp": agree_sharp, "agree_smooth": agree_smooth,
         "agree_buffer_pixels": agree_buffer, "direction_codes": "-1 nodata, 0 drainage, 1-8 N NE E SE S SW W NW",
     }
     out = [(hands, "hand", "float32", math.nan, paths.hand), (cells.ltnd(way), "ltnd", "float32", math.nan, paths.ltnd)]

@@ -259,7 +259,7 @@ def test_terrain_products(spark, tmp_path, capsys):
         write_vector(layer, f"{tmp_path}/{name}.gpkg", output_format="gpkg")
     run = ["terrain-products", "--dem", dem, "--roi-catchments", f"{tmp_path}/c.gpkg", "--roi-segments", f"{tmp_path}/s.gpkg", "--output-dir", f"{tmp_path}/cli"]
     assert cli.main(run, spark) == 0 and values(spark, tmp_path / "cli/hand.tif") == hand and not (tmp_path / "cli/flow_direction.tif").exists()
-    assert "18 owned, 6 drainage" in capsys.readouterr().out
+    assert "Cells owned: 18; drainage: 6;" in capsys.readouterr().out
     assert cli.main([*run, "--agree-sharp", "-1"], spark) == 1
 
 
