@@ -46,7 +46,7 @@ BLOCK = 1024
 PERCENTILE = 0.95
 END_ID = 2
 #: Pieces whose ids a worker holds; past it, the cache starts anew.
-CACHE = 300_000
+CACHE = 700_000
 TOKENIZER = "word_bpe_49k.json"
 _HEAD, _FOOT, _BLOCK = b"RGTOK001", b"RGTOKEND", struct.Struct("<IHBH")
 _NO_ID = -(1 << 63)
