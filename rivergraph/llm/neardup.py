@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, small_batches, stored, table, text_key
+from .common import keyed, lean, small_batches, stored, table, text_key
 
 K, SKETCHES, ROWS, ELL, LEAST = 5, 32, 2, 2, 0.8
 BANDS = SKETCHES // ROWS
@@ -355,7 +355,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     the text has any)."""
     small_batches(docs.sparkSession)
     base = keyed(docs, id_col, text_col)
-    rows = stored(base.mapInArrow(_sketches, "doc_id long, tkey long, k1 long, k2 long, sk array<int>"))
+    rows = stored(base.mapInArrow(lean(_sketches), "doc_id long, tkey long, k1 long, k2 long, sk array<int>"))
     with_words = rows.where("k1 is not null and doc_id is not null")
     # one node for equal word sequences; its text is that of the smallest doc_id
     node = with_words.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.first("sk").alias("sk"))
@@ -367,10 +367,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # rows that are equal in doc_id and text give a node's text more than once
     texts = stored(base.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("tkey") == F.col("rep_key"))).select("id", "text").dropDuplicates(["id"]))
     labels = stored(used.select("id", F.col("id").alias("class")))
-    met = stored(with_texts(star, texts).mapInArrow(_compared, _MET))
+    met = stored(with_texts(star, texts).mapInArrow(lean(_compared), _MET))
     labels = components(met.where("near").select(F.col("lead").alias("a"), F.col("id").alias("b")), labels)
     again = stored(may_be_near(met, labels))
-    late = with_texts(again, texts).mapInArrow(_near_only, "a long, b long")
+    late = with_texts(again, texts).mapInArrow(lean(_near_only), "a long, b long")
     labels = components(stored(late), labels)
     named = nodes.join(labels.select(F.col("id").alias("_id"), "class"), F.col("id") == F.col("_id"), "left").select("k1", "k2", "rep",
         "rep_key", F.coalesce("class", "id").alias("class"))

@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, stored, table
+from .common import lean, shared_dir, small_batches, stored, table, worker_cache
 
 BLOCK = 1024
 PERCENTILE = 0.95
@@ -252,11 +252,12 @@ class Pieces:
         return b"".join(found)
 
 
-_pieces: dict[str, Pieces] = {}
+_OWNER = "tokens"
+_pieces: dict[str, Pieces] = worker_cache(_OWNER)
 
 
 def pieces_of(path: str) -> Pieces:
-    """One cache for all tasks that a worker process runs."""
+    """One cache for all tasks that write files in a worker process; it goes when the files are read back."""
     if path not in _pieces:
         _pieces[path] = Pieces(path)
     return _pieces[path]
@@ -310,7 +311,7 @@ def write_tokens(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
     # the beginning of the text parts rows that repeat a doc_id, or lack one, over as many files as they need
     small_batches(docs.sparkSession)
     ordered = base.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
-    manifest = stored(ordered.mapInArrow(run, _MANIFEST))
+    manifest = stored(ordered.mapInArrow(lean(run, _OWNER), _MANIFEST))
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("before", F.coalesce(before, F.lit(0)))
 
@@ -336,7 +337,7 @@ def read_tokens(manifest: DataFrame, ids: bool = False) -> DataFrame:
 
     # as many partitions as files: without a number, so few small rows would be put into one task
     files = max(1, manifest.count())
-    return manifest.select("file", "before").repartition(files, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
+    return manifest.select("file", "before").repartition(files, "file").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import lean, small_batches, stored, table
 
 SAMPLE = 12_000
 THRESHOLD = 0.7
@@ -242,14 +242,14 @@ def _ratio(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
 def learn_lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     """Terms with their weights from sample (text, label)."""
     share = n_pos / (n_pos + n_neg)
-    counts = sample.mapInArrow(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.mapInArrow(lean(_counted), "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     expected = (F.col("pos") + F.col("neg")) * F.lit(share)
     unlikely = (F.col("pos") - expected) / F.sqrt(expected * F.lit(1 - share))
     good = counts.where((F.col("pos") >= max(4, n_pos // 200)) & (_ratio(F.col("pos"), F.col("neg"), n_pos, n_neg) >= 4) & (unlikely >= 5))
     top = {r["term"] for r in good.select("term").collect()}
     if not top:
         return {}
-    seen = sample.mapInArrow(_contexts(top), "term string, context string, label int").groupBy("term", "context").agg(F.max("label").alias("label"))
+    seen = sample.mapInArrow(lean(_contexts(top)), "term string, context string, label int").groupBy("term", "context").agg(F.max("label").alias("label"))
     per = seen.groupBy("term").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()
     lexicon = {}
     for term, pos, n in per:
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     if not n.get(0) or not n.get(1):
         return Model({}, None)
     lexicon = learn_lexicon(sample, n[1], n[0])
-    rows = sample.mapInArrow(_featured(lexicon), "x array<double>, label int").collect()
+    rows = sample.mapInArrow(lean(_featured(lexicon)), "x array<double>, label int").collect()
     return Model(lexicon, fit_logistic(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)))
 
 
@@ -316,7 +316,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "score", "matches"])
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double, matches array<double>")
+    return base.mapInArrow(lean(run), "doc_id long, score double, matches array<double>")
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -328,7 +328,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
         for b in batches:
             yield b.filter(pa.array([model.score(features(t or "", classes)) < threshold for t in b.column(text_col).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

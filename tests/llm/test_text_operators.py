@@ -629,3 +629,20 @@ def test_pipeline_stages(spark, tmp_path):
         assert [c.lower() for c in d.columns] == [x.split()[0] for x in SCHEMA.split(", ")]
     assert counts[0] == len(data) and counts[1] == 10 and counts[2] == 9
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == counts[3]
+
+
+def test_pieces_do_not_outlive_their_operator(spark, docs, tmp_path, monkeypatch):
+    """Spark runs all operators' tasks in the same worker processes."""
+    tasks, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: (tasks.append(f), real(self, f, *a, **b))[1])
+    manifest = tokens.write_tokens(docs, f"file://{tmp_path}/held")
+    tokens.read_tokens(manifest)
+    neardup.near_duplicates(docs)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int"))
+    toxicity.score(docs, model), toxicity.drop_toxic(docs, model)
+    assert len(tasks) >= 8
+    for k, task in enumerate(tasks):
+        pieces = tokens.pieces_of(tokens.tokenizer_path())
+        pieces.encode("some words")
+        assert list(task(iter([]))) == []
+        assert bool(tokens._pieces) == (k == 0)  # those who write go on with them
