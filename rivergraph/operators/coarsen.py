@@ -1,17 +1,19 @@
 """Mini-basins: segments of one main stem merged until each group is long enough, with what is left assigned to them.
 
-Merging never leaves a (sub, water_course), so each is a group of its own: a pandas function merges it, exactly. All else
-is joins and pointer doubling.
+Merging never leaves a (sub, water_course), so each is a group of its own: a pandas function merges them, many at a time,
+exactly. All else is joins and pointer doubling.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, NumericType
 
@@ -43,26 +45,44 @@ def check_layer(df: DataFrame, what: str) -> None:
         raise InvalidInputSchemaError(f"{what}: geometry must be WKB")
 
 
+def _added(parts: list[float], x: float) -> list[float]:
+    """parts, whose exact sum stands for many numbers, with one more: no digit is lost, and there are few parts."""
+    out = []
+    for y in parts:
+        high = x + y
+        if not math.isfinite(high):
+            out.append(y)
+            continue
+        if abs(x) < abs(y):
+            x, y = y, x
+        if low := y - (high - x):
+            out.append(low)
+        x = high
+    return [*out, x]
+
+
 def merge_short(ids: list, downs: list, lengths: list[float], least: float) -> dict:
     """id -> group label for one domain. While a group shorter than `least` has a neighbour, the first such group by label
     as text joins its neighbour of least (length, label as text) and takes its label."""
-    members = {i: [i] for i in ids}
-    own = dict(zip(ids, lengths, strict=True))
-    total = dict(own)
+    total = dict(zip(ids, lengths, strict=True))
+    exact = {i: [x] for i, x in total.items()}
     beside: dict = {i: set() for i in ids}
     for i, d in zip(ids, downs, strict=True):
-        if d in members and d != i:
+        if d in beside and d != i:
             beside[i].add(d)
             beside[d].add(i)
     short = [(str(i), i) for i in ids if total[i] < least and beside[i]]
     heapq.heapify(short)
+    into: dict = {}
     while short:
         _, g = heapq.heappop(short)
-        if g not in members or not beside[g] or not total[g] < least:
+        if g in into or not beside[g] or not total[g] < least:
             continue
         to = min(beside[g], key=lambda t: (total[t], str(t)))
-        members[to] += members.pop(g)
-        total[to] = math.fsum(own[m] for m in members[to])
+        into[g] = to
+        for x in exact.pop(g):
+            exact[to] = _added(exact[to], x)
+        total[to] = math.fsum(exact[to])
         for other in beside.pop(g):
             beside[other].discard(g)
             if other != to:
@@ -70,21 +90,48 @@ def merge_short(ids: list, downs: list, lengths: list[float], least: float) -> d
                 beside[to].add(other)
         if total[to] < least and beside[to]:
             heapq.heappush(short, (str(to), to))
-    return {m: g for g, all_ in members.items() for m in all_}
+    # a group that was joined went into one that lasted longer: from the last joining back, every way has one step
+    for g in reversed(into):
+        into[g] = into.get(into[g], into[g])
+    return {i: into.get(i, i) for i in ids}
+
+
+def _domains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of `batches` in pieces of whole domains; a domain begins where `head` is true."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if len(starts := np.flatnonzero(pdf["head"].to_numpy())):
+            held.append(pdf.iloc[: starts[-1]])
+            if len(whole := pd.concat(held)):
+                yield whole
+            held = [pdf.iloc[starts[-1] :]]
+        else:
+            held.append(pdf)
+    if held:
+        yield pd.concat(held)
 
 
 def merged_groups(eligible: DataFrame, least: float) -> DataFrame:
-    """eligible: id, p (eligible, or null), sub, water_course, unit_length. id, mini_id."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["id"].tolist()
-        groups = merge_short(ids, [None if pd.isna(x) else x for x in pdf["p"]], pdf["unit_length"].tolist(), least)
-        return pd.DataFrame({"id": ids, "mini_id": [groups[i] for i in ids]})
+    """eligible: id, p (eligible, or null), sub, water_course, unit_length. id, mini_id. Many domains go to Python at once:
+    there may be as many as segments, and most are of one segment or have no short one."""
+
+    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _domains(batches):
+            ids, downs, lengths = pdf["id"].tolist(), pdf["p"].tolist(), pdf["unit_length"].to_numpy(float, na_value=math.nan)
+            starts = np.flatnonzero(pdf["head"].to_numpy())
+            sizes = np.diff(starts, append=len(pdf))
+            labels = list(ids)
+            for k in np.flatnonzero((sizes > 1) & np.logical_or.reduceat(lengths < least, starts)):
+                at = slice(starts[k], starts[k] + sizes[k])
+                groups = merge_short(ids[at], downs[at], lengths[at].tolist(), least)
+                labels[at] = [groups[i] for i in ids[at]]
+            yield pd.DataFrame({"id": pdf["id"], "mini_id": pd.Series(labels, index=pdf.index, dtype=pdf["id"].dtype)})
 
     kind = eligible.schema["id"].dataType.simpleString()
+    head = F.row_number().over(Window.partitionBy("sub", "water_course").orderBy("id")) == 1
     # a pandas column of longs with nulls would turn into floats
-    asked = eligible.withColumn("p", F.coalesce("p", "id")).select("id", "p", "sub", "water_course", "unit_length")
-    return asked.groupBy("sub", "water_course").applyInPandas(one, f"id {kind}, mini_id {kind}")
+    asked = eligible.withColumn("head", head).select("id", F.coalesce("p", "id").alias("p"), "unit_length", "head")
+    return asked.mapInPandas(many, f"id {kind}, mini_id {kind}")
 
 
 def group_lengths(assigned: DataFrame, segments: DataFrame) -> DataFrame:

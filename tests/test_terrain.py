@@ -1,6 +1,7 @@
 import math
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -143,6 +144,33 @@ def test_merging_against_a_plain_model():
         assert coarsen.merge_short(ids, [downs[i] for i in ids], [lengths[i] for i in ids], 6.0) == plain.merged(ids, downs, lengths, 6.0)
 
 
+def test_merging_many_domains_at_once(spark):
+    """Domains over the ends of batches, of one segment, and without a sub: as each on its own, with few calls of Python."""
+    r = random.Random(3)
+    rows, want = [], {}
+    for k in range(300):
+        ids = [10 * k + j for j in range(r.randrange(1, 9))]
+        downs = {i: r.choice([None, *ids[:n]]) for n, i in enumerate(ids)}
+        lengths = {i: r.choice([0.1, 0.2, 0.3, 2.0]) for i in ids}
+        want |= plain.merged(ids, downs, lengths, 0.6)
+        rows += [(i, downs[i], k % 2 or None, k, lengths[i]) for i in ids]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = coarsen.merged_groups(spark.createDataFrame(rows, "id long, p long, sub int, water_course long, unit_length double"), 0.6)
+        assert {x["id"]: x["mini_id"] for x in found.collect()} == want
+        assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_merging_a_long_domain_in_time():
+    """Lengths are summed from what was summed before; members are not copied at each merging."""
+    n, began = 60_000, time.perf_counter()
+    got = coarsen.merge_short(list(range(n)), [None, *range(n - 1)], [0.1] * n, math.inf)
+    assert len(set(got.values())) == 1 and time.perf_counter() - began < 20
+
+
 def square(x, y, w=1, h=1):
     return geom.polygon([[(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)]])
 
