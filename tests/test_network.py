@@ -1,8 +1,10 @@
+import random
+
 import pytest
 
 from rivergraph.errors import DuplicateSegmentIdError, InvalidInputSchemaError, MissingColumnsError, MissingCrsError, OutletNotFoundError, TopologyCycleError
 from rivergraph.functions import geom
-from rivergraph.operators import coarsen, roi, topology
+from rivergraph.operators import coarsen, doubling, roi, topology
 
 
 def net(spark, ids, downs, kind="long"):
@@ -107,3 +109,32 @@ def test_minibasin_errors(spark):
         coarsen.aggregate_minibasins(cat, seg.drop("sub"), uparea_min=0, lmin=0)
     with pytest.raises(InvalidInputSchemaError):
         coarsen.aggregate_minibasins(cat, seg.select(*reversed(seg.columns)), uparea_min=0, lmin=0)
+
+
+def random_forest(n):
+    r = random.Random(n)
+    return {i: r.randrange(i) if i and r.random() > 0.1 else None for i in range(n)}
+
+
+def test_folds_leave_tips_out_and_hand_nothing_around(spark, monkeypatch):
+    """Folds over a forest as node by node; tips are in no round, and no table goes to the driver to be handed around."""
+    downs, tables = random_forest(200), []
+    keep = doubling.stored
+
+    def held(df):
+        out = keep(df)
+        tables.append((df._jdf.queryExecution().executedPlan().toString(), out))
+        return out
+
+    monkeypatch.setattr(doubling, "stored", held)
+    nodes = spark.createDataFrame([(i, d, i + 1) for i, d in downs.items()], "id long, p long, v long")
+    way = lambda i: [i] if downs[i] is None else [i, *way(downs[i])]
+    down = doubling.path_fold(nodes, {"v": lambda a, b: a + b})
+    assert {r["id"]: r["v"] for r in down.collect()} == {i: sum(j + 1 for j in way(i)) for i in downs}
+    up = doubling.upstream_sums(nodes, ["v"])
+    assert {r["id"]: r["v"] for r in up.collect()} == {i: sum(j + 1 for j in downs if i in way(j)) for i in downs}
+    assert not [plan for plan, _ in tables if "Broadcast" in plan]
+    tips = set(downs) - set(downs.values())
+    rounds = [t for plan, t in tables if "SortMergeJoin" in plan and "inner" not in t.columns]
+    of_tips = [t for t in rounds if tips & {r["id"] for r in t.collect()}]
+    assert len(of_tips) == 1  # what the path's fold writes of them at the end

@@ -134,6 +134,37 @@ def test_basin_edges_against_a_plain_model(spark):
         assert got.keys() == want.keys() and all(got[k][:3] == pytest.approx(want[k][:3]) and got[k][3:] == want[k][3:] for k in want)
 
 
+def test_neighbours_over_the_borders_of_tiles(spark):
+    """As cell by cell, and rows are not multiplied by a join with neighbours."""
+    rng = np.random.default_rng(11)
+    z = {(r - 3, c): float(rng.integers(9)) for r in range(70) for c in range(125) if rng.random() > 0.1}
+    label = {a: int(a[1] > 65) for a in z}
+    want = {}
+    for k in (0, 1):
+        want |= plain.natural({a: h for a, h in z.items() if label[a] == k}, set(), 3.0, 4.0)
+    found = cells.natural_d8(spark.createDataFrame([(*a, label[a], h, False) for a, h in z.items()], "row int, col int, label int, z double, is_drain boolean"), 3.0, 4.0)
+    assert {(r["row"], r["col"]): r["code"] for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def counted(directed, tally):
+    def run(batches):
+        for pdf in batches:
+            tally.add(len(pdf))
+            yield pdf
+
+    return directed.mapInPandas(run, directed.schema)
+
+
+@pytest.mark.parametrize("ask", [cells.basin_edges, cells.corridor_costs, cells.routes])
+def test_directions_are_worked_out_once(spark, ask):
+    rows = [(r, c, 0, float((r * 7 + c * 3) % 5), 3 if c < 5 else 0) for r in range(4) for c in range(6)]
+    tally = spark.sparkContext.accumulator(0)
+    directed = counted(spark.createDataFrame(rows, "row int, col int, label int, z double, code int"), tally)
+    ask(directed, 1.0, 1.0).collect()
+    assert tally.value == len(rows)
+
+
 def test_merging_against_a_plain_model():
     r = random.Random(2)
     for _ in range(400):
