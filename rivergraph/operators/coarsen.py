@@ -145,24 +145,25 @@ def assign_nearest(wanted: DataFrame, nodes: DataFrame, assigned: DataFrame, len
     """id, mini_id for the ids in wanted: of the first assigned segments downstream and upstream in the same (sub,
     water_course), passing through unassigned ones, the group of least (length, label as text); else in the same sub.
     nodes: id, p, sub, water_course."""
+    group = F.struct("length", F.col("mini_id").cast("string").alias("label"), "mini_id").alias("g")
+    tagged = stored(nodes.join(assigned.join(lengths.hint("merge"), "mini_id").select("id", group).hint("merge"), "id", "left"))
     found = None
     for same in (("sub", "water_course"), ("sub",)):
-        tagged = nodes.join(assigned.join(lengths, "mini_id").select("id", F.struct("length", F.col("mini_id").cast("string").alias("label"), "mini_id").alias("g")), "id", "left")
         down = tagged.select(F.col("id").alias("_id"), F.col("g").alias("_g"), *(F.col(c).alias(f"_{c}") for c in same))
         alike: Column = F.lit(True)
         for c in same:
             alike = alike & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        linked = stored(tagged.join(down, (F.col("p") == F.col("_id")) & alike, "left").select("id", "g", F.col("_id").alias("d"), F.col("_g").alias("dg")))
+        linked = stored(tagged.join(down.hint("merge"), (F.col("p") == F.col("_id")) & alike, "left").select("id", "g", F.col("_id").alias("d"), F.col("_g").alias("dg")))
         # downstream: what an unassigned segment meets next, or what the next one meets
         below = path_fold(linked.where("g is null").select("id", F.when(F.col("dg").isNull(), F.col("d")).alias("p"), F.col("dg").alias("met")), {"met": F.coalesce})
         # upstream: the least of the assigned children, and of what unassigned children have met
         seed = linked.where("g is not null and d is not null and dg is null").groupBy("d").agg(F.min("g").alias("met"))
-        open_ = linked.where("g is null").select("id", F.when(F.col("dg").isNull(), F.col("d")).alias("p")).join(seed.withColumnRenamed("d", "id"), "id", "left")
+        open_ = linked.where("g is null").select("id", F.when(F.col("dg").isNull(), F.col("d")).alias("p")).join(seed.withColumnRenamed("d", "id").hint("merge"), "id", "left")
         above = subtree_fold(open_, {"met": F.min}, {"met": F.least})
-        best = below.join(above.withColumnRenamed("met", "up"), "id").select("id",
+        best = below.join(above.withColumnRenamed("met", "up").hint("merge"), "id").select("id",
             F.least("met", "up").alias("best")).where("best is not null").select("id", F.col("best.mini_id").alias("m"))
-        found = best.withColumnRenamed("m", "m1") if found is None else found.join(best, "id", "full").select("id", F.coalesce("m1", "m").alias("mini_id"))
-    return wanted.select("id").join(found, "id")
+        found = best.withColumnRenamed("m", "m1") if found is None else found.join(best.hint("merge"), "id", "full").select("id", F.coalesce("m1", "m").alias("mini_id"))
+    return wanted.select("id").join(found.hint("merge"), "id")
 
 
 def split_eligible(segments: DataFrame, uparea_min: float) -> DataFrame:
@@ -174,9 +175,9 @@ def split_eligible(segments: DataFrame, uparea_min: float) -> DataFrame:
 def downstream_group(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
     """id, mini_down: from each assigned segment along p, past its own group and unassigned segments, the first other
     group. nodes: id, p."""
-    tagged = nodes.join(assigned, "id", "left")
+    tagged = stored(nodes.join(assigned.hint("merge"), "id", "left").select("id", "p", "mini_id"))
     down = tagged.select(F.col("id").alias("_id"), F.col("mini_id").alias("_m"))
-    linked = tagged.join(down, F.col("p") == F.col("_id"), "left").select("id", "p", "mini_id", "_m")
+    linked = tagged.join(down.hint("merge"), F.col("p") == F.col("_id"), "left").select("id", "p", "mini_id", "_m")
     # an unassigned segment passes on what it meets; groups are connected, so a path never comes back to its own
     other = F.col("_m").isNotNull() & (F.col("mini_id").isNull() | (F.col("_m") != F.col("mini_id")))
     state = linked.select("id", F.when(other, F.lit(None)).otherwise(F.col("p")).alias("p"), F.when(other, F.col("_m")).alias("mini_down"))
