@@ -5,6 +5,7 @@ import pytest
 from rivergraph.errors import DuplicateSegmentIdError, InvalidInputSchemaError, MissingColumnsError, MissingCrsError, OutletNotFoundError, TopologyCycleError
 from rivergraph.functions import geom
 from rivergraph.operators import coarsen, doubling, roi, topology
+from rivergraph.plans.queries import QUERIES
 
 
 def net(spark, ids, downs, kind="long"):
@@ -138,3 +139,19 @@ def test_folds_leave_tips_out_and_hand_nothing_around(spark, monkeypatch):
     rounds = [t for plan, t in tables if "SortMergeJoin" in plan and "inner" not in t.columns]
     of_tips = [t for t in rounds if tips & {r["id"] for r in t.collect()}]
     assert len(of_tips) == 1  # what the path's fold writes of them at the end
+
+
+def test_networks_are_worked_out_once(spark):
+    """What groups are made of is stored: results do not read the tables again, and segments are asked for once."""
+    tally = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            tally.add(len(pdf))
+            yield pdf
+
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2)], "id long, p long").mapInPandas(counted, "id long, p long")
+    found = coarsen.downstream_group(nodes, spark.createDataFrame([(1, 1), (2, 2), (4, 2)], "id long, mini_id long"))
+    assert {r["id"]: r["mini_down"] for r in found.collect()} == {1: None, 2: 1, 3: 2, 4: 1} and tally.value == 4
+    plan = QUERIES["representative"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "o_orderkey" not in plan
